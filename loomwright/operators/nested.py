@@ -32,30 +32,31 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: nested helpers stay linear in size."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def field(v: Column, name: str) -> Column:
     """A member under its snake_case or camelCase key; JSON null counts as absent."""
-    def one(key: str) -> Column:
-        x = F.try_variant_get(v, f"$.{key}", "variant")
-        return F.when(~F.is_variant_null(x), x)
-
     keys = list(dict.fromkeys((name, _camel(name))))
-    return F.coalesce(*map(one, keys))
+    found = let(v, lambda x: F.coalesce(*(F.try_variant_get(x, f"$.{k}", "variant") for k in keys)))
+    return let(found, lambda x: F.when(~F.is_variant_null(x), x))
 
 
 def unstring(v: Column) -> Column:
     """A container given as JSON text becomes that container; anything else stays."""
-    text = F.try_variant_get(v, "$", "string")
-    return F.when((_kind(v) == "STRING") & text.rlike(r"^\s*[\[{]"), F.coalesce(F.try_parse_json(text), v)).otherwise(v)
+    def of(x: Column) -> Column:
+        parse = let(F.try_variant_get(x, "$", "string"), lambda t: F.when(t.rlike(r"^\s*[\[{]"), F.try_parse_json(t)))
+        return F.when(_kind(x) == "STRING", F.coalesce(parse, x)).otherwise(x)
+
+    return let(v, of)
 
 
 def items(v: Column) -> Column:
     """The elements as ARRAY<VARIANT>; a single value is one element, an absent one none."""
-    v = unstring(v)
-    return (
-        F.when(v.isNull() | F.is_variant_null(v), F.array().cast("array<variant>"))
-        .when(_kind(v).startswith("ARRAY"), v.cast("array<variant>"))
-        .otherwise(F.array(v))
-    )
+    none = F.array().cast("array<variant>")
+    return let(unstring(v), lambda x: F.when(x.isNull() | F.is_variant_null(x), none).when(_kind(x).startswith("ARRAY"), F.try_variant_get(x, "$", "array<variant>")).otherwise(F.array(x)))
 
 
 def indexed(array: Column, make: Callable[[Column, Column], Column]) -> Column:
@@ -67,22 +68,25 @@ def indexed(array: Column, make: Callable[[Column, Column], Column]) -> Column:
 
 def _text(v: Column) -> Column:
     """Strings as they are, anything else as JSON."""
-    return F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
+    return let(v, lambda x: F.when(_kind(x) == "STRING", F.try_variant_get(x, "$", "string")).otherwise(F.to_json(x)))
 
 
 def parsed(df: DataFrame, id_col: str = "raw_id", payload: str = "payload") -> DataFrame:
     """raw_id, instruction_sha256 and the record's parts as VARIANT, of each payload that is a JSON object."""
-    root = df.select(F.col(id_col).alias("raw_id"), F.try_parse_json(F.col(payload)).alias("v")).where(F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT"))
+    whole = F.try_parse_json(F.concat(F.lit("["), F.col(payload), F.lit("]")))  # in brackets, as the parser stops after a first value
+    one = F.when(F.try_variant_get(whole, "$[1]", "variant").isNull(), F.try_variant_get(whole, "$[0]", "variant"))
+    root = df.select(F.col(id_col).alias("raw_id"), one.alias("v")).where(F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT"))
     inner = F.coalesce(*(F.try_variant_get("v", f"$.{k}", "variant") for k in ENVELOPES))
     own = F.coalesce(field(F.col("v"), "prompt"), field(F.col("v"), "reward_model"), field(F.col("v"), "extra_info"))
-    record = root.select("raw_id", unstring(F.when(own.isNull() & inner.isNotNull(), inner).otherwise(F.col("v"))).alias("v"))
-    parts = record.select(
+    record = root.select("raw_id", unstring(F.when(own.isNull(), F.coalesce(inner, F.col("v"))).otherwise(F.col("v"))).alias("v"))
+    extra = record.select("raw_id", "v", unstring(field(F.col("v"), "extra_info")).alias("extra"))
+    return extra.select(
         "raw_id",
+        F.try_variant_get(field(F.col("extra"), "instruction_sha256"), "$", "string").alias("instruction_sha256"),
         field(F.col("v"), "prompt").alias("prompt"),
         unstring(field(unstring(field(F.col("v"), "reward_model")), "ground_truth")).alias("gt"),
-        unstring(field(F.col("v"), "extra_info")).alias("extra"),
+        "extra",
     )
-    return parts.select("raw_id", F.try_variant_get(field(F.col("extra"), "instruction_sha256"), "$", "string").alias("instruction_sha256"), "prompt", "gt", "extra")
 
 
 def _tool_calls(m: Column) -> Column:
@@ -95,10 +99,8 @@ def _steps(gt: Column) -> Column:
 
 def _gold(gt: Column) -> Column:
     """The expected rows: an array, a single object as one row; a plain number or text gives none."""
-    value, as_json = unstring(field(gt, "expected_value")), unstring(field(gt, "expected_value_json"))
-    as_json = F.when((_kind(as_json) == "STRING"), F.coalesce(F.try_parse_json(F.try_variant_get(as_json, "$", "string")), as_json)).otherwise(as_json)
-    tabular = lambda v: F.when(_kind(v).startswith("ARRAY") | _kind(v).startswith("OBJECT"), v)
-    return items(F.coalesce(tabular(value), tabular(as_json)))
+    tabular = lambda v: let(v, lambda x: F.when(_kind(x).startswith("ARRAY") | _kind(x).startswith("OBJECT"), x))
+    return let(gt, lambda g: items(F.coalesce(tabular(unstring(field(g, "expected_value"))), tabular(unstring(field(g, "expected_value_json"))))))
 
 
 def _emit(df: DataFrame, rows: Column) -> DataFrame:
