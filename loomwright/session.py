@@ -62,7 +62,7 @@ def width(spark: SparkSession, least: int = 1) -> int:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; for a file scan the bytes of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def small_enough(df: DataFrame, most_rows: int) -> bool:
