@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: U+FF01..U+FF5E map onto ASCII by a constant offset; the ideographic space onto a blank.
@@ -25,39 +25,41 @@ def _keep(t: Column, signs: str) -> Column:
     return F.regexp_replace(t, "(?<![<>!])=", "")
 
 
-def request_key(text: Column) -> Column:
-    """Canonical form of an instruction.
+def request_key(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with the canonical form of an instruction.
 
     A text made of at least three `key=value` fields is an unordered set of fields; any other text keeps its order.
-    Null gives null; a text of layout only gives ''.
+    Null gives null; a text of layout only gives ''. Its steps are columns of their own, each computed once.
     """
-    t = narrow(text)
     parts = F.filter(
-        F.split(F.regexp_replace(t, r"(?m)^[ \t]*[-*#>]+[ \t]+", ""), r"[;,/|、\n\r。]+"),
-        lambda p: F.length(F.regexp_replace(p, r"[^\p{L}\p{N}]+", "")) > 0,
+        F.split(F.regexp_replace("_t", r"(?m)^[ \t]*[-*#>]+[ \t]+", ""), r"[;,/|、\n\r。]+"),
+        lambda p: p.rlike(r"[\p{L}\p{N}]"),
     )
-    field = r"^[^\p{L}\p{N}]*[\p{L}][\p{L}\p{N} _  \t]{0,24}?\s*[=:].*[\p{L}\p{N}]"
-    fields = F.size(F.filter(parts, lambda p: p.rlike(field)))
+    field = r"^[^\p{L}\p{N}]*[\p{L}][\p{L}\p{N} _\u00a0\u2003\t]{0,24}?\s*[=:].*[\p{L}\p{N}]"
 
     def one(p: Column) -> Column:
-        head = F.regexp_extract(p, r"^([^=:]*)[=:]", 1)
-        return F.concat(_keep(head, "<>="), F.lit(""), _keep(F.substr(p, F.length(head) + 2), "<>="))
+        head = F.substring_index(F.translate(p, "=", ":"), ":", 1)
+        return F.concat(_keep(head, "<>="), F.lit(""), _keep(F.substr(p, F.length(head) + 2), "<>="))
 
-    return F.when((fields >= 3) & (fields == F.size(parts)), F.array_join(F.sort_array(F.transform(parts, one)), "")).otherwise(_keep(t, "<>="))
+    t, p = F.col("_t"), F.col("_p")
+    d = df.withColumn("_t", narrow(F.col(text)))
+    d = d.withColumn("_p", F.when(F.length(t) - F.length(F.translate(t, "=:", "")) >= 3, parts))
+    d = d.withColumn("_f", (F.size(p) >= 3) & F.forall(p, lambda x: x.rlike(field)))
+    return d.withColumn(name, F.when(F.col("_f"), F.array_join(F.sort_array(F.transform(p, one)), "")).otherwise(_keep(t, "<>="))).drop("_t", "_p", "_f")
 
 
-def statement_key(sql: Column) -> Column:
-    """Canonical form of a SELECT: names unquoted, layout dropped, the selected columns as an unordered bag.
+def statement_key(df: DataFrame, sql: str, name: str) -> DataFrame:
+    """df with the canonical form of a SELECT: names unquoted, layout dropped, the selected columns as an unordered bag.
 
     Commas inside up to five levels of parentheses belong to their column. Null gives null.
     """
-    t = F.regexp_replace(narrow(sql), r"\s+", " ")
-    head = F.regexp_extract(t, r"^\W*select (.*?) from ", 1)
-    cols = head
+    d = df.withColumn("_t", F.regexp_replace(narrow(F.col(sql)), r"\s+", " "))
+    d = d.withColumn("_h", F.regexp_extract("_t", r"^\W*select (.*?) from ", 1))
+    cols = F.col("_h")
     for _ in range(5):
         cols = F.regexp_replace(cols, r",(?=[^()]*\))", COMMA)
         cols = F.regexp_replace(cols, r"\(([^()]*)\)", f"{OPEN}$1{CLOSE}")
     signs = r"<>=!*/+%"
-    bag = F.array_join(F.sort_array(F.transform(F.split(cols, ","), lambda c: _keep(c, signs))), "")
-    rest = F.when(head != "", F.regexp_replace(t, r"^\W*select .*? from ", "")).otherwise(t)
-    return F.when(sql.isNotNull(), F.concat(bag, F.lit(""), _keep(rest, signs)))
+    bag = F.array_join(F.sort_array(F.transform(F.split(cols, ","), lambda c: _keep(c, signs))), "")
+    rest = F.when(F.col("_h") != "", F.regexp_replace("_t", r"^\W*select .*? from ", "")).otherwise(F.col("_t"))
+    return d.withColumn(name, F.when(F.col("_t").isNotNull(), F.concat(bag, F.lit(""), _keep(rest, signs)))).drop("_t", "_h")

@@ -6,7 +6,7 @@ map-side combined aggregation; keys above `hot_rows` are salted into a two-level
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import small_enough, table, written
@@ -18,13 +18,10 @@ HOT_ROWS = 100_000
 HOT_KEYS_BROADCAST = 50_000
 
 
-def keyed(df: DataFrame, table_name: str, id_col: str, key: Column) -> DataFrame:
-    """(table_name, id, k1, k2) of every row with a non-null, non-blank text; two seeds of xxhash64 make 128 bits."""
-    return (
-        df.select(F.lit(table_name).alias("table_name"), F.col(id_col).cast("bigint").alias("id"), key.alias("_k"))
-        .where(F.col("_k").isNotNull() & (F.length("_k") > 1))
-        .select("table_name", "id", F.xxhash64(F.lit(17), "table_name", "_k").alias("k1"), F.xxhash64(F.lit(40961), "_k", "table_name").alias("k2"))
-    )
+def keyed(df: DataFrame, table_name: str) -> DataFrame:
+    """(table_name, id, key) rows to (table_name, id, k1, k2), without null and blank texts; two seeds make 128 bits."""
+    name = F.lit(table_name)
+    return df.where(F.col("key").isNotNull() & (F.length("key") > 1)).select(name.alias("table_name"), F.col("id").cast("bigint").alias("id"), F.xxhash64(F.lit(17), name, "key").alias("k1"), F.xxhash64(F.lit(40961), "key", name).alias("k2"))
 
 
 def copy_sets(rows: DataFrame, hot_rows: int = HOT_ROWS, salts: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -58,10 +55,9 @@ def copies(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    task, record = table(spark, sf_dir, "task"), table(spark, sf_dir, "training_record")
-    return keyed(task, "task", "task_no", request_key(F.col("natural_language_instruction"))).unionByName(
-        keyed(record, "training_record", "record_id", statement_key(F.col("reward_model.ground_truth.verification_sql")))
-    )
+    task = table(spark, sf_dir, "task").select(F.col("task_no").alias("id"), F.col("natural_language_instruction").alias("text"))
+    record = table(spark, sf_dir, "training_record").select(F.col("record_id").alias("id"), F.col("reward_model.ground_truth.verification_sql").alias("text"))
+    return keyed(request_key(task, "text", "key"), "task").unionByName(keyed(statement_key(record, "text", "key"), "training_record"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
