@@ -134,8 +134,8 @@ def features(docs: DataFrame, vocab: DataFrame, most_words: int = MOST_WORDS) ->
 def rated(labels: DataFrame) -> DataFrame:
     """(doc_id, y): the mean grade of a document after each rater's mean deviation from it is removed."""
     g = labels.where("grade is not null and doc_id is not null").withColumn("mean", F.avg("grade").over(W.partitionBy("doc_id")))
-    bias = F.broadcast(g.groupBy("rater").agg(F.avg(F.col("grade") - F.col("mean")).alias("bias")))  # one row a rater
-    return g.join(bias, F.col("rater").eqNullSafe(bias["rater"]), "left").groupBy("doc_id").agg(F.avg(F.col("grade") - F.coalesce("bias", F.lit(0.0))).alias("y"))
+    bias = F.broadcast(g.groupBy(F.col("rater").alias("_r")).agg(F.avg(F.col("grade") - F.col("mean")).alias("bias")))  # one row a rater
+    return g.join(bias, F.col("rater").eqNullSafe(F.col("_r")), "left").groupBy("doc_id").agg(F.avg(F.col("grade") - F.coalesce("bias", F.lit(0.0))).alias("y"))
 
 
 def calibrate(feats: DataFrame, labels: DataFrame, ridge: float = 1e-3) -> dict[str, list[float]]:
