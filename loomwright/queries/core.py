@@ -1,15 +1,501 @@
-"""Queries of the core, each with the SQL that must give the same rows."""
+"""Queries of the core over whole tables, each with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
-from ..operators import nested
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries() -> dict:
-    out = {"p5_found": nested.p5_found}
-    out |= {f"p5_{name}": nested.p5_table(name) for name in nested.TABLES}
-    return out
+from ..functions import tables as tbl
+from ..functions import text as tx
+from ..operators import curate, groups, nested, scoring, stats, telemetry
+from ..plans.query_plan import Join, QueryPlan, baseline_gap, filled, period_change, share, weighted_score
+from ..session import table
+from ..streaming import resample
+
+Query = Callable[[SparkSession, str], DataFrame]
+_Q: dict[str, tuple[Query, str | None]] = {}
+
+
+def add(name: str, fn: Query, sql: str | None = None) -> None:
+    _Q[name] = (fn, sql)
+
+
+# --- plans: scans, filters, joins, metrics, having, top-k -------------------------------------------------------------
+_GEO = (Join("supplier", "l_suppkey", "s_suppkey"), Join("nation", "s_nationkey", "n_nationkey"), Join("region", "n_regionkey", "r_regionkey"))
+_LINES = "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+FLAGSHIP = QueryPlan("lineitem", "sum", "l_extendedprice", _GEO, date="l_shipdate", month="1996-03", equal=(("l_returnflag", "R"),), group="n_name", least_rows=3, top=5)
+add(
+    "plan_star_top_k",
+    FLAGSHIP.to_df,
+    f"SELECT n_name AS category, round(sum(l_extendedprice), 2) AS value {_LINES} WHERE l_shipdate >= TIMESTAMP '1996-03-01' AND l_shipdate < TIMESTAMP '1996-04-01' AND l_returnflag = 'R' GROUP BY n_name HAVING count(*) >= 3 ORDER BY value DESC, category LIMIT 5",
+)
+add(
+    "plan_scalar_quarter",
+    QueryPlan("lineitem", "mean", "l_quantity", date="l_shipdate", month="1997-01", months=3, equal=(("l_linestatus", "O"),), differ=(("l_returnflag", "A"),)).to_df,
+    "SELECT round(avg(l_quantity), 2) AS value FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1997-04-01' AND l_linestatus = 'O' AND l_returnflag <> 'A'",
+)
+add(
+    "plan_distinct_by_region",
+    QueryPlan("orders", "distinct", "o_custkey", (Join("customer", "o_custkey", "c_custkey"), Join("nation", "c_nationkey", "n_nationkey"), Join("region", "n_regionkey", "r_regionkey")), within=(("o_orderstatus", ("F", "O")),), group="r_name", least_rows=10).to_df,
+    "SELECT r_name AS category, CAST(count(DISTINCT o_custkey) AS DOUBLE) AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderstatus IN ('F', 'O') GROUP BY r_name HAVING count(*) >= 10",
+)
+def _shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "shipments")
+    c = table(spark, sf_dir, "carriers").select(F.col("carrier_id").alias("_c"), "carrier_name", "carrier_level")
+    return s.join(c, s.carrier_id == F.col("_c")).drop("_c")
+
+
+add(
+    "plan_delay_rate",
+    lambda s, d: _shipments(s, d).where("status = 'delivered'").groupBy(F.col("carrier_name").alias("category")).agg(F.round(F.lit(100.0) * F.sum("delayed_flag") / F.count(F.lit(1)), 2).alias("value"), F.count(F.lit(1)).alias("n")).where("n >= 20").drop("n").orderBy(F.desc("value"), "category").limit(10),
+    "SELECT carrier_name AS category, round(100.0 * sum(delayed_flag) / count(*), 2) AS value FROM shipments s JOIN carriers c ON s.carrier_id = c.carrier_id WHERE status = 'delivered' GROUP BY carrier_name HAVING count(*) >= 20 ORDER BY value DESC, category LIMIT 10",
+)
+add(
+    "plan_month_equality",
+    lambda s, d: table(s, d, "orders").where(F.date_format("o_orderdate", "yyyy-MM").isin("1996-05", "1996-06")).groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")),
+    "SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE strftime(o_orderdate, '%Y-%m') IN ('1996-05', '1996-06') GROUP BY 1, 2",
+)
+add(
+    "filter_filled_dimension",
+    lambda s, d: table(s, d, "customers").where(filled(F.col("customer_segment"))).groupBy("customer_segment").agg(F.count(F.lit(1)).alias("n")),
+    "SELECT customer_segment, count(*) AS n FROM customers WHERE customer_segment IS NOT NULL AND trim(customer_segment) <> '' GROUP BY 1",
+)
+
+
+def _stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with two 1:1 stages built from their lines; all joins share one key."""
+    line = table(spark, sf_dir, "lineitem")
+    pick = line.groupBy(F.col("l_orderkey").alias("k1")).agg(F.sum("l_quantity").alias("pick_hours"))
+    move = line.groupBy(F.col("l_orderkey").alias("k2")).agg(F.round(F.avg("l_tax"), 6).alias("move_hours"))
+    o = table(spark, sf_dir, "orders")
+    return o.join(pick, o.o_orderkey == F.col("k1")).join(move, o.o_orderkey == F.col("k2")).drop("k1", "k2")
+
+
+_STAGES = "SELECT o.*, p.pick_hours, m.move_hours FROM orders o JOIN (SELECT l_orderkey k1, sum(l_quantity) pick_hours FROM lineitem GROUP BY 1) p ON o_orderkey = k1 JOIN (SELECT l_orderkey k2, round(avg(l_tax), 6) move_hours FROM lineitem GROUP BY 1) m ON o_orderkey = k2"
+add(
+    "join_stage_facts",
+    lambda s, d: _stages(s, d).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("pick_hours") + 10 * F.col("move_hours")), 2).alias("total_hours"), F.round(F.avg(F.abs(F.col("pick_hours") - 100 * F.col("move_hours"))), 2).alias("gap")),
+    f"SELECT o_orderpriority, count(*) AS n, round(avg(pick_hours + 10 * move_hours), 2) AS total_hours, round(avg(abs(pick_hours - 100 * move_hours)), 2) AS gap FROM ({_STAGES}) GROUP BY 1",
+)
+add(
+    "plan_period_change",
+    lambda s, d: period_change(table(s, d, "orders"), "o_orderpriority", "o_orderdate", "o_totalprice", "1996-06", "1996-05", 1),
+    "WITH g AS (SELECT o_orderpriority AS category, avg(o_totalprice) FILTER (WHERE strftime(o_orderdate, '%Y-%m') = '1996-06') AS a, avg(o_totalprice) FILTER (WHERE strftime(o_orderdate, '%Y-%m') = '1996-05') AS b FROM orders GROUP BY 1) SELECT category, round((a - b) * 100.0 / b, 2) AS value FROM g WHERE a IS NOT NULL AND b IS NOT NULL AND b <> 0",
+)
+add(
+    "plan_share",
+    lambda s, d: share(_stages(s, d).withColumn("m100", F.col("move_hours") * 100), "o_orderpriority", "pick_hours", ["pick_hours", "m100"]),
+    f"SELECT o_orderpriority AS category, round(avg(pick_hours) * 100.0 / (avg(pick_hours) + avg(move_hours * 100)), 2) AS value FROM ({_STAGES}) GROUP BY 1",
+)
+add(
+    "plan_baseline_gap",
+    lambda s, d: baseline_gap(_shipments(s, d).where("weight_kg is not null"), "service_level", "weight_kg", 5),
+    "WITH b AS (SELECT s.* FROM shipments s JOIN carriers c ON s.carrier_id = c.carrier_id WHERE weight_kg IS NOT NULL), o AS (SELECT avg(weight_kg) AS a FROM b) SELECT service_level AS category, round((avg(weight_kg) - max(a)) * 100.0 / max(a), 2) AS value FROM b CROSS JOIN o GROUP BY 1 HAVING count(*) >= 5",
+)
+add(
+    "plan_weighted_score",
+    lambda s, d: weighted_score(_shipments(s, d).groupBy(F.col("carrier_name").alias("category")).agg(F.avg("delivery_hours").alias("h"), F.avg("delayed_flag").alias("f"), F.count(F.lit(1)).alias("n")), {"h": 0.5, "f": 0.3, "n": 0.2}),
+    "WITH g AS (SELECT carrier_name AS category, avg(delivery_hours) h, avg(delayed_flag) f, count(*) n FROM shipments s JOIN carriers c ON s.carrier_id = c.carrier_id GROUP BY 1) SELECT category, round((coalesce(0.5 * h / nullif(max(h) OVER (), 0), 0) + coalesce(0.3 * f / nullif(max(f) OVER (), 0), 0) + 0.2 * n / max(n) OVER ()) * 100.0, 2) AS value FROM g",
+)
+
+# --- groups -----------------------------------------------------------------------------------------------------------
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as samples: a user is a task, a purchase is right, value is the reward, the day is the step."""
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.col("user_id").alias("task"), "event_id", "ts", (F.col("event_type") == "purchase").alias("correct"), (F.col("event_type") == "error").alias("error"), (F.col("event_type") == "signup").alias("timeout"),
+        F.col("value").alias("reward"), (F.datediff("ts", F.lit("2024-01-01")) + 1).cast("bigint").alias("step"), F.get_json_object("props", "$.k").cast("bigint").alias("k"), "event_type",
+    )
+
+
+_S = "SELECT user_id AS task, event_id, ts, event_type = 'purchase' AS correct, event_type = 'error' AS error, event_type = 'signup' AS timeout, value AS reward, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS BIGINT) AS step, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type FROM events"
+
+
+def over(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: fn(_samples(spark, sf_dir))
+
+
+add("group_histogram", lambda s, d: groups.histogram(table(s, d, "training_record"), "data_source"), "SELECT data_source, count(*) AS n FROM training_record GROUP BY 1")
+add(
+    "group_task_buckets",
+    over(lambda x: groups.task_buckets(x.where("k < 5"), "task", "correct", "timeout", "error")),
+    f"WITH s AS ({_S}), g AS (SELECT task, count(*) samples, CAST(sum(correct::INT) AS BIGINT) correct, CAST(sum(timeout::INT) AS BIGINT) timeouts, CAST(sum(error::INT) AS BIGINT) errors FROM s WHERE k < 5 GROUP BY 1) SELECT *, CASE WHEN errors > 0 THEN 'runtime_error' WHEN timeouts > 0 THEN 'timed_out' WHEN correct = 0 THEN 'all_wrong' WHEN correct >= samples THEN 'all_correct' ELSE 'mixed' END AS bucket FROM g",
+)
+add(
+    "group_task_buckets_strict",
+    over(lambda x: groups.task_buckets(x.where("k < 5"), "task", "correct", "timeout", "error", strict=True).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))),
+    f"WITH s AS ({_S}), g AS (SELECT task, count(*) samples, sum(correct::INT) correct, sum(error::INT) errors FROM s WHERE k < 5 GROUP BY 1) SELECT CASE WHEN errors > 0 THEN 'runtime_error' WHEN correct = 0 THEN 'all_wrong' WHEN correct >= samples THEN 'all_correct' ELSE 'mixed' END AS bucket, count(*) AS n FROM g GROUP BY 1",
+)
+add(
+    "group_margins",
+    over(lambda x: groups.margins(x, ["step", "task"], "correct", "reward")),
+    f"WITH s AS ({_S}), g AS (SELECT step, task, count(*) n, CAST(sum(correct::INT) AS BIGINT) correct, round(min(reward) FILTER (WHERE correct) - max(reward) FILTER (WHERE NOT correct), 6) margin, round(max(reward) - min(reward), 6) reward_range FROM s GROUP BY 1, 2) SELECT *, correct > 0 AND correct < n AS mixed, coalesce(margin > 0, false) AS ranked FROM g",
+)
+add(
+    "group_gate",
+    over(lambda x: groups.group_gate(x.where("step <= 2").withColumn("eligible", ~F.col("error")), "task", "correct", "eligible", "step", 2)),
+    f"WITH s AS ({_S}), g AS (SELECT task, count(*) n, min((NOT error)::INT) e, count(DISTINCT step) v, min(correct::INT) lo, max(correct::INT) hi FROM s WHERE step <= 2 GROUP BY 1) SELECT task, n, CASE WHEN n <> 2 THEN 'wrong_size' WHEN e = 0 THEN 'ineligible' WHEN v <> 1 THEN 'mixed_versions' WHEN lo = hi THEN 'no_contrast' ELSE 'active' END AS state FROM g",
+)
+add(
+    "window_advantages",
+    over(lambda x: groups.advantages(x, "task", "reward").select("event_id", "task", "advantage")),
+    f"WITH s AS ({_S}) SELECT event_id, task, CASE WHEN stddev_pop(reward) OVER w > 1e-12 THEN round((reward - avg(reward) OVER w) / stddev_pop(reward) OVER w, 6) ELSE 0.0 END AS advantage FROM s WINDOW w AS (PARTITION BY task)",
+)
+add(
+    "window_advantage_audit",
+    over(lambda x: groups.advantage_audit(groups.advantages(x, "task", "reward"), "task", "correct", "advantage")),
+    f"WITH s AS ({_S}), a AS (SELECT *, CASE WHEN stddev_pop(reward) OVER w > 1e-12 THEN round((reward - avg(reward) OVER w) / stddev_pop(reward) OVER w, 6) ELSE 0.0 END AS adv, min(correct::INT) OVER w < max(correct::INT) OVER w AS m FROM s WINDOW w AS (PARTITION BY task)) SELECT CASE WHEN adv > 0 THEN 'positive' WHEN adv < 0 THEN 'negative' ELSE 'zero' END AS sign, count(*) AS n FROM a WHERE m AND NOT correct GROUP BY 1",
+)
+add(
+    "window_exposure",
+    over(lambda x: groups.exposure(x, "k", ["ts", "event_id"]).groupBy("exposure").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("reward"), 4).alias("mean"))),
+    f"WITH s AS ({_S}), e AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts, event_id) AS x FROM s) SELECT CAST(x AS INTEGER) AS exposure, count(*) AS n, round(avg(reward), 4) AS mean FROM e GROUP BY 1",
+)
+add(
+    "group_edge_windows",
+    over(lambda x: groups.edge_windows(x, "step", "reward", 5)),
+    f"WITH s AS ({_S}), t AS (SELECT step, row_number() OVER (ORDER BY step) a, row_number() OVER (ORDER BY step DESC) b FROM (SELECT DISTINCT step FROM s)), e AS (SELECT step, 'first' edge FROM t WHERE a <= 5 UNION ALL SELECT step, 'last' FROM t WHERE b <= 5) SELECT edge, count(reward) AS n, round(avg(reward), 6) AS mean, count(*) FILTER (WHERE reward > 0) AS positive FROM s JOIN e USING (step) GROUP BY 1",
+)
+add("group_step_bins", over(lambda x: groups.bins(x, "step", 6, "reward")), f"WITH s AS ({_S}) SELECT CAST(floor((step - 1) / 6) AS BIGINT) AS bin, count(reward) AS n, round(avg(reward), 6) AS mean FROM s GROUP BY 1")
+add(
+    "group_describe",
+    over(lambda x: groups.describe(x, "reward", ["event_type"])),
+    f"WITH s AS ({_S}) SELECT event_type, count(reward) AS n, min(reward) AS min, round(avg(reward), 6) AS mean, round(quantile_cont(reward, 0.5), 6) AS median, round(quantile_cont(reward, 0.25), 6) AS p25, round(quantile_cont(reward, 0.75), 6) AS p75, round(quantile_cont(reward, 0.9), 6) AS p90, round(quantile_cont(reward, 0.95), 6) AS p95, max(reward) AS max, round(stddev_pop(reward), 6) AS std FROM s GROUP BY 1",
+)
+add(
+    "group_nearest_rank",
+    lambda s, d: groups.nearest_rank(table(s, d, "trajectory"), "response_tokens", [0.5, 0.9, 0.95], ["num_turns"]),
+    "SELECT num_turns, count(response_tokens) AS n, quantile_disc(response_tokens, 0.5) AS p50, quantile_disc(response_tokens, 0.9) AS p90, quantile_disc(response_tokens, 0.95) AS p95 FROM trajectory WHERE response_tokens IS NOT NULL GROUP BY 1",
+)
+_HALF = "SELECT task, CASE WHEN sum(correct::INT) = 0 THEN 'all_wrong' WHEN sum(correct::INT) = count(*) THEN 'all_correct' ELSE 'mixed' END AS bucket"
+
+
+def _halves(x: DataFrame) -> tuple[DataFrame, DataFrame]:
+    label = lambda y: y.groupBy("task").agg(groups.bucket(F.sum(F.col("correct").cast("int")), F.count(F.lit(1))).alias("bucket"))
+    return label(x.where("step <= 15")), label(x.where("step > 15"))
+
+
+add(
+    "group_transitions",
+    over(lambda x: groups.transitions(*_halves(x), "task", "bucket")),
+    f"WITH s AS ({_S}), a AS ({_HALF} FROM s WHERE step <= 15 GROUP BY 1), b AS ({_HALF} FROM s WHERE step > 15 GROUP BY 1) SELECT a.bucket AS left_label, b.bucket AS right_label, count(*) AS n FROM a JOIN b USING (task) GROUP BY 1, 2",
+)
+add(
+    "group_zero_filled",
+    over(lambda x: groups.zero_filled(x.where("step = 1").groupBy("task").agg(F.sum(F.col("correct").cast("int")).alias("c")), "c", 8)),
+    f"WITH s AS ({_S}), h AS (SELECT CAST(sum(correct::INT) AS BIGINT) c FROM s WHERE step = 1 GROUP BY task) SELECT r.v AS value, count(h.c) AS n FROM (SELECT CAST(range AS BIGINT) v FROM range(9)) r LEFT JOIN h ON h.c = r.v GROUP BY 1",
+)
+add(
+    "group_confusion",
+    over(lambda x: groups.confusion(x.select(F.when(F.col("reward") > 60, "PASS").when(F.col("reward") > 20, "UNKNOWN").otherwise("FAIL").alias("auto"), F.when(F.col("correct"), "PASS").when(F.col("error"), "FAIL").otherwise("UNKNOWN").alias("human")), "auto", "human", ["PASS", "FAIL", "UNKNOWN"])),
+    f"WITH s AS ({_S}), t AS (SELECT CASE WHEN reward > 60 THEN 'PASS' WHEN reward > 20 THEN 'UNKNOWN' ELSE 'FAIL' END a, CASE WHEN correct THEN 'PASS' WHEN error THEN 'FAIL' ELSE 'UNKNOWN' END h FROM s) SELECT a AS auto_state, count(*) FILTER (WHERE h = 'PASS') AS human_pass, count(*) FILTER (WHERE h = 'FAIL') AS human_fail, count(*) FILTER (WHERE h = 'UNKNOWN') AS human_unknown FROM t GROUP BY 1",
+)
+add(
+    "group_set_transition",
+    over(lambda x: groups.set_transition(x.groupBy("task").agg(F.min("event_type").alias("source")), x.where("step <= 3 and correct"), x.where("step between 4 and 6 and correct"), "task", "source")),
+    f"WITH s AS ({_S}), u AS (SELECT task, min(event_type) source FROM s GROUP BY 1), b AS (SELECT DISTINCT task, 1 x FROM s WHERE step <= 3 AND correct), a AS (SELECT DISTINCT task, 1 x FROM s WHERE step BETWEEN 4 AND 6 AND correct) SELECT source, count(*) FILTER (WHERE b.x = 1 AND a.x = 1) AS retained, count(*) FILTER (WHERE b.x = 1 AND a.x IS NULL) AS lost, count(*) FILTER (WHERE b.x IS NULL AND a.x = 1) AS gained, count(*) FILTER (WHERE b.x IS NULL AND a.x IS NULL) AS neither FROM u LEFT JOIN b USING (task) LEFT JOIN a USING (task) GROUP BY 1",
+)
+add(
+    "group_conflicts",
+    lambda s, d: groups.conflicts(table(s, d, "training_record").select(F.col("extra_info.instruction_sha256").alias("h"), F.col("extra_info.gold_sha256").alias("g")), "h", "g"),
+    "SELECT extra_info.instruction_sha256 AS h, count(DISTINCT extra_info.gold_sha256) AS n_values FROM training_record WHERE extra_info.instruction_sha256 IS NOT NULL GROUP BY 1 HAVING count(DISTINCT extra_info.gold_sha256) > 1",
+)
+add(
+    "group_duplicate_pairs",
+    over(lambda x: groups.duplicate_pairs(x, "task", "k")),
+    f"WITH s AS ({_S}), c AS (SELECT task, k, count(*) c FROM s GROUP BY 1, 2) SELECT task, CAST(sum(c) AS BIGINT) AS n, count(*) AS n_distinct, round(coalesce(sum(c * (c - 1) / 2) / nullif(sum(c) * (sum(c) - 1) / 2, 0), 0), 6) AS duplicate_share FROM c GROUP BY 1",
+)
+add(
+    "group_merged_counts",
+    over(lambda x: groups.merged_counts([groups.histogram(x.where("step <= 10"), "event_type"), groups.histogram(x.where("step > 10"), "event_type")], "event_type", "n")),
+    "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
+)
+add(
+    "group_command_families",
+    lambda s, d: table(s, d, "trajectory").select(F.explode("pi_tool_events").alias("e")).groupBy(F.col("e.name").alias("tool"), F.coalesce(F.col("e.ok"), F.lit(False)).alias("ok")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("e.arguments.command").alias("distinct_commands")),
+    "SELECT e.name AS tool, coalesce(e.ok, false) AS ok, count(*) AS n, count(DISTINCT e.arguments.command) AS distinct_commands FROM (SELECT unnest(pi_tool_events) AS e FROM trajectory) GROUP BY 1, 2",
+)
+
+# --- curation ---------------------------------------------------------------------------------------------------------
+add(
+    "curate_identity",
+    lambda s, d: table(s, d, "training_record").select("record_id", curate.identity(F.col("extra_info.instruction_sha256"), F.element_at(F.filter("prompt", lambda m: m["role"] == "user"), -1)["content"]).alias("identity")),
+    "SELECT record_id, CASE WHEN trim(extra_info.instruction_sha256) <> '' THEN extra_info.instruction_sha256 ELSE sha256(list_filter(prompt, lambda x: x.role = 'user')[-1].content) END AS identity FROM training_record",
+)
+add(
+    "curate_review_reasons",
+    lambda s, d: table(s, d, "task").select("task_no", curate.first_reason([("unreviewed", F.col("qa_status").isNull()), ("not_passed", F.col("qa_status") != "passed"), ("no_level", F.col("difficulty_level").isNull()), ("no_tables", F.coalesce(F.size("expected_tables") <= 0, F.lit(True)))]).alias("reason"), curate.all_reasons([("unreviewed", F.col("qa_status").isNull()), ("no_level", F.col("difficulty_level").isNull()), ("no_type", F.col("task_type").isNull())]).alias("reasons")),
+    "SELECT task_no, CASE WHEN qa_status IS NULL THEN 'unreviewed' WHEN qa_status <> 'passed' THEN 'not_passed' WHEN difficulty_level IS NULL THEN 'no_level' WHEN expected_tables IS NULL OR len(expected_tables) = 0 THEN 'no_tables' END AS reason, concat_ws('|', CASE WHEN qa_status IS NULL THEN 'unreviewed' END, CASE WHEN difficulty_level IS NULL THEN 'no_level' END, CASE WHEN task_type IS NULL THEN 'no_type' END) AS reasons FROM task",
+)
+add(
+    "curate_exact_keys",
+    lambda s, d: curate.exact_keys(table(s, d, "task").select("task_id"), table(s, d, "training_record").select(F.col("reward_model.ground_truth.task_id").alias("task_id")).where("task_id is not null"), "task_id"),
+    "WITH a AS (SELECT DISTINCT task_id FROM task), b AS (SELECT DISTINCT reward_model.ground_truth.task_id AS task_id FROM training_record WHERE reward_model.ground_truth.task_id IS NOT NULL) SELECT (SELECT count(*) FROM a WHERE task_id NOT IN (SELECT task_id FROM b)) AS left_only, (SELECT count(*) FROM b WHERE task_id NOT IN (SELECT task_id FROM a)) AS right_only",
+)
+
+
+def _split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "training_record").select("record_id", F.col("extra_info.source_label").alias("label"), F.col("extra_info.instruction_sha256").alias("ih"), F.col("extra_info.gold_sha256").alias("gh"), F.col("reward_model.ground_truth.task_id").alias("tid"))
+    return r.join(table(spark, sf_dir, "source_spec").select("label", "split"), "label")
+
+
+_R = "SELECT r.record_id, s.split, s.label, r.extra_info.instruction_sha256 ih, r.extra_info.gold_sha256 gh, r.reward_model.ground_truth.task_id tid FROM training_record r JOIN source_spec s ON s.label = r.extra_info.source_label"
+
+
+def _leak_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _split_records(spark, sf_dir)
+    held = r.where("split <> 'train'")
+    return curate.excluded(r.where("split = 'train'"), [(held, "tid"), (held, "ih"), (held, "gh")]).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+add(
+    "curate_leakage_exclusion",
+    _leak_free,
+    f"WITH r AS ({_R}), h AS (SELECT * FROM r WHERE split <> 'train') SELECT label, count(*) AS n FROM r WHERE split = 'train' AND NOT EXISTS (SELECT 1 FROM h WHERE h.tid = r.tid) AND NOT EXISTS (SELECT 1 FROM h WHERE h.ih = r.ih) AND NOT EXISTS (SELECT 1 FROM h WHERE h.gh = r.gh) GROUP BY 1",
+)
+add(
+    "curate_overlap_matrix",
+    lambda s, d: curate.overlap_matrix(_split_records(s, d), "split", "ih"),
+    f'WITH r AS (SELECT DISTINCT split, ih FROM ({_R}) WHERE ih IS NOT NULL) SELECT a.split AS "left", b.split AS "right", count(*) AS n FROM r a JOIN r b ON a.ih = b.ih AND a.split < b.split GROUP BY 1, 2',
+)
+add(
+    "curate_latest",
+    lambda s, d: curate.latest(table(s, d, "shipments"), ["shipment_id"], [F.col("loaded_at").alias("_o")]).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.max("loaded_at").alias("newest")),
+    "SELECT status, count(*) AS n, max(loaded_at) AS newest FROM (SELECT * FROM shipments QUALIFY row_number() OVER (PARTITION BY shipment_id ORDER BY loaded_at DESC, ship_date DESC) = 1) GROUP BY 1",
+)
+
+
+def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "trajectory").select("trajectory_id", "record_id", "sample_index", "response_tokens", "trajectory_timeout")
+    base = t.groupBy("record_id", "sample_index").agg(F.min_by(F.struct("trajectory_id", "response_tokens", "trajectory_timeout"), "trajectory_id").alias("x")).select("record_id", "sample_index", "x.*")
+    retry = t.groupBy("record_id", "sample_index").agg(F.max_by(F.struct("trajectory_id", "response_tokens", "trajectory_timeout"), "trajectory_id").alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1").select("record_id", "sample_index", "x.*")
+    return curate.upsert(base, retry, ["record_id", "sample_index"])
+
+
+add("curate_upsert_retries", _upsert, "SELECT record_id, sample_index, trajectory_id, response_tokens, trajectory_timeout FROM trajectory QUALIFY row_number() OVER (PARTITION BY record_id, sample_index ORDER BY trajectory_id DESC) = 1")
+add(
+    "curate_seeded_top",
+    lambda s, d: curate.stratum_top(table(s, d, "task").select("task_no", "task_id", "task_type"), ["task_type"], curate.seeded("seed7", "task_id"), 20),
+    "SELECT * FROM (SELECT task_no, task_id, task_type, CAST(row_number() OVER (PARTITION BY task_type ORDER BY sha256('seed7:' || task_id)) AS INTEGER) AS rank FROM task) WHERE rank <= 20",
+)
+add(
+    "curate_round_robin",
+    lambda s, d: curate.round_robin(table(s, d, "task").select("task_no", "task_id", F.coalesce("task_type", F.lit("none")).alias("stratum")), "stratum", curate.seeded("s", "task_id")).select("task_no", "stratum", "place"),
+    "WITH r AS (SELECT task_no, coalesce(task_type, 'none') AS stratum, row_number() OVER (PARTITION BY coalesce(task_type, 'none') ORDER BY sha256('s:' || task_id)) rn FROM task) SELECT task_no, stratum, row_number() OVER (ORDER BY rn, stratum) AS place FROM r",
+)
+
+
+def _quota_counts(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "task").groupBy(F.coalesce("difficulty_level", F.lit(0)).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_QUOTA = "WITH c AS (SELECT coalesce(difficulty_level, 0) AS level, count(*) n FROM task GROUP BY 1), e AS (SELECT level, n, n * 100.0 / sum(n) OVER () AS x FROM c), f AS (SELECT *, floor(x) b, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, level) r, 100 - sum(floor(x)) OVER () AS l FROM e), q AS (SELECT level, n, CAST(b + CASE WHEN r <= l THEN 1 ELSE 0 END AS BIGINT) AS quota FROM f)"
+add("curate_hamilton_quota", lambda s, d: curate.hamilton(_quota_counts(s, d), "level", "n", 100), f"{_QUOTA} SELECT * FROM q")
+add(
+    "curate_quota_split",
+    lambda s, d: curate.split_by_quota(table(s, d, "task").select("task_no", "task_id", F.coalesce("difficulty_level", F.lit(0)).alias("level")), curate.hamilton(_quota_counts(s, d), "level", "n", 100), "level", curate.seeded("sp", "task_id")).groupBy("level", "split").agg(F.count(F.lit(1)).alias("n"), F.min("task_no").alias("first")),
+    f"{_QUOTA}, r AS (SELECT task_no, coalesce(difficulty_level, 0) AS level, row_number() OVER (PARTITION BY coalesce(difficulty_level, 0) ORDER BY sha256('sp:' || task_id)) rn FROM task) SELECT level, CASE WHEN rn <= quota THEN 'train' ELSE 'test' END AS split, count(*) AS n, min(task_no) AS first FROM r JOIN q USING (level) GROUP BY 1, 2",
+)
+add(
+    "curate_exposures",
+    lambda s, d: curate.exposures(table(s, d, "source_spec").select("label"), "label", 3, "x"),
+    "SELECT label, CAST(e AS INTEGER) AS exposure, sha256('x:' || e || ':' || label) AS order_key FROM source_spec, (SELECT unnest([1, 2, 3]) AS e)",
+)
+add(
+    "curate_quota_then_fill",
+    lambda s, d: curate.quota_then_fill(table(s, d, "task").select("task_no", "task_id", "task_type", "difficulty_level"), ["task_type"], 5, ["difficulty_level"], 5, "task_no", curate.seeded("q", "task_id")).select("task_no", "round"),
+    "WITH a AS (SELECT task_no FROM task QUALIFY row_number() OVER (PARTITION BY task_type ORDER BY sha256('q:' || task_id)) <= 5), b AS (SELECT task_no FROM task WHERE task_no NOT IN (SELECT task_no FROM a) QUALIFY row_number() OVER (PARTITION BY difficulty_level ORDER BY sha256('q:' || task_id)) <= 5) SELECT task_no, 1 AS round FROM a UNION ALL SELECT task_no, 2 FROM b",
+)
+add(
+    "curate_interleaved",
+    lambda s, d: curate.interleaved(table(s, d, "task").select("task_no", "task_id", "difficulty_level").where("difficulty_level is not null"), "difficulty_level", curate.seeded("i", "task_id")).where("turn <= 10").select("task_no", "difficulty_level", "turn"),
+    "SELECT * FROM (SELECT task_no, difficulty_level, CAST(row_number() OVER (PARTITION BY difficulty_level ORDER BY sha256('i:' || task_id)) AS INTEGER) AS turn FROM task WHERE difficulty_level IS NOT NULL) WHERE turn <= 10",
+)
+add("curate_fingerprint", lambda s, d: curate.fingerprint(table(s, d, "task"), F.col("task_id")))
+add("curate_halves", lambda s, d: curate.halves(table(s, d, "task").select("task_no", "task_id"), curate.seeded("h", "task_id")).groupBy("half").agg(F.count(F.lit(1)).alias("n")))
+
+# --- text -------------------------------------------------------------------------------------------------------------
+_SQLCOL = "reward_model.ground_truth.verification_sql"
+add(
+    "text_sql_tables",
+    lambda s, d: table(s, d, "training_record").select("record_id", F.array_join(tx.table_names(F.col(_SQLCOL)), ",").alias("tables")),
+    rf"SELECT record_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all({_SQLCOL}, '(?i)\b(?:from|join)\s+[`\[\x22]?([A-Za-z_][A-Za-z0-9_]*)', 1), lambda x: lower(x)))), ',') AS tables FROM training_record",
+)
+add("text_sql_aggregates", lambda s, d: table(s, d, "training_record").select(F.explode(tx.aggregate_calls(F.col(_SQLCOL))).alias("call")).groupBy("call").agg(F.count(F.lit(1)).alias("n")))
+add("text_sql_where", lambda s, d: table(s, d, "training_record").select("record_id", F.array_join(tx.where_literals(F.col(_SQLCOL)), "|").alias("literals"), F.array_join(tx.where_numbers(F.col(_SQLCOL)), "|").alias("numbers")))
+add("text_read_only", lambda s, d: table(s, d, "training_record").groupBy(tx.read_only(F.col(_SQLCOL)).alias("read_only")).agg(F.count(F.lit(1)).alias("n")))
+add("text_numbers", lambda s, d: table(s, d, "trajectory").select("trajectory_id", tx.answer_numbers(F.col("final_answer")).alias("xs")).groupBy(F.size("xs").alias("numbers")).agg(F.count(F.lit(1)).alias("n")))
+add("text_final_answer", lambda s, d: table(s, d, "trajectory").select("trajectory_id", F.sha2(tx.final_answer(F.col("trajectory_output")), 256).alias("answer_sha256")))
+add(
+    "text_unsafe_commands",
+    lambda s, d: table(s, d, "trajectory").select(F.explode("pi_tool_events").alias("e")).select(F.explode_outer(tx.unsafe_reasons(F.coalesce(F.col("e.arguments.command"), F.lit("")))).alias("reason")).groupBy(F.coalesce("reason", F.lit("safe")).alias("reason")).agg(F.count(F.lit(1)).alias("n")),
+)
+add("text_command_families", lambda s, d: table(s, d, "trajectory").select(F.explode("pi_tool_events").alias("e")).groupBy(tx.command_family(F.col("e.arguments.command")).alias("family")).agg(F.count(F.lit(1)).alias("n")))
+add(
+    "text_openings",
+    lambda s, d: table(s, d, "task").groupBy(tx.masked_opening(F.col("natural_language_instruction")).alias("opening")).agg(F.count(F.lit(1)).alias("n")),
+)
+add(
+    "text_field_use",
+    lambda s, d: table(s, d, "training_record").select("record_id", F.col(_SQLCOL).alias("q"), F.explode("reward_model.ground_truth.must_use_fields").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.count_if(tx.uses_identifier(F.col("q"), F.col("f"))).alias("used")),
+    r"SELECT f, count(*) AS n, count(*) FILTER (WHERE regexp_matches(' ' || lower(q) || ' ', '[^a-z0-9_]' || f || '[^a-z0-9_]')) AS used FROM (SELECT reward_model.ground_truth.verification_sql q, unnest(reward_model.ground_truth.must_use_fields) f FROM training_record) WHERE f IS NOT NULL GROUP BY 1",
+)
+add(
+    "text_messages_profile",
+    lambda s, d: table(s, d, "chat_log").select("chat_id", F.size(F.filter("messages", lambda m: m["role"] == "assistant")).alias("turns"), F.aggregate("messages", F.lit(0), lambda a, m: a + F.coalesce(F.size(m["tool_calls"]), F.lit(0)) * F.when(m["tool_calls"].isNull(), 0).otherwise(1)).alias("calls"), F.aggregate("messages", F.lit(0), lambda a, m: a + F.coalesce(F.length(m["content"]), F.lit(0))).alias("chars")),
+    "SELECT chat_id, CAST(len(list_filter(messages, lambda m: m.role = 'assistant')) AS INTEGER) AS turns, CAST(coalesce(list_sum(list_transform(messages, lambda m: coalesce(len(m.tool_calls), 0))), 0) AS INTEGER) AS calls, CAST(coalesce(list_sum(list_transform(messages, lambda m: coalesce(length(m.content), 0))), 0) AS INTEGER) AS chars FROM chat_log",
+)
+
+
+def _answered(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "trajectory").select("trajectory_id", "record_id", "final_answer", "pi_tool_events", "response_tokens", "runtime_error", "trajectory_timeout")
+    g = table(s, d, "training_record").select("record_id", F.col("reward_model.ground_truth").alias("g"))
+    return t.join(g, "record_id")
+
+
+# --- verification and scoring -----------------------------------------------------------------------------------------
+add("verify_answers", lambda s, d: _answered(s, d).select(tbl.match_mode("final_answer", "g.expected_value_json", "g.abs_tol", "g.rel_tol", F.lit(True)).alias("mode"), "g.answer_type").groupBy("answer_type", "mode").agg(F.count(F.lit(1)).alias("n")))
+add("verify_closeness", lambda s, d: _answered(s, d).select("trajectory_id", tbl.closeness("final_answer", "g.expected_value_json").alias("closeness")))
+
+
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    x = _samples(s, d)
+    cost = scoring.efficiency(F.col("k") % 20, F.col("reward") * 400, F.col("reward") / 100, F.lit(0.0))
+    return x.withColumn("cost", F.round(cost, 9))
+
+
+_COST = f"WITH s AS ({_S}), e AS (SELECT *, round(least(1, 0.5 * least(1, ln(1 + greatest(k % 20 - 4, 0)) / ln(9.0)) + 0.3 * least(1, ln(1 + greatest(reward * 400 - 4000, 0) / 4000) / ln(4.0)) + 0.2 * 0.5 * least(1, greatest(0, reward / 100))), 9) AS cost FROM s)"
+add("score_efficiency", lambda s, d: _scored(s, d).select("event_id", F.round("cost", 6).alias("cost")), f"{_COST} SELECT event_id, round(cost, 6) AS cost FROM e")
+
+
+def _tiered(s: SparkSession, d: str) -> DataFrame:
+    x = _scored(s, d)
+    layer, reward, mask = scoring.tiered(F.col("k") > 95, F.col("k") > 90, F.col("timeout"), ~F.col("error"), F.col("k") % 3 > 0, F.col("correct"), F.col("cost"))
+    return x.select(layer.alias("layer"), reward.alias("r"), mask.alias("m")).groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("r"), 5).alias("mean_reward"), F.sum("m").alias("trained"))
+
+
+add(
+    "score_tiered",
+    _tiered,
+    f"{_COST}, l AS (SELECT *, CASE WHEN k > 90 THEN 'unsafe_or_budget' WHEN timeout THEN 'unknown' WHEN error THEN 'no_attempt' WHEN NOT k % 3 > 0 THEN 'attempt_failed' WHEN NOT correct THEN 'success_wrong_final' ELSE 'success_correct_final' END AS layer FROM e) SELECT layer, count(*) AS n, round(avg(round(CASE layer WHEN 'attempt_failed' THEN 0.1 * (1 - cost) WHEN 'success_wrong_final' THEN 0.2 * (1 - cost) WHEN 'success_correct_final' THEN 1 - 0.2 * cost ELSE 0 END, 6)), 5) AS mean_reward, sum(CASE WHEN layer = 'unknown' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) AS trained FROM l GROUP BY 1",
+)
+add(
+    "score_banded",
+    lambda s, d: _samples(s, d).select("event_id", scoring.banded(~F.col("error"), F.col("k") > 3, F.col("correct"), F.col("k") % 2 == 0, F.col("reward") / 100).alias("reward")),
+    f"WITH s AS ({_S}) SELECT event_id, CASE WHEN error OR k <= 3 THEN 0.0 ELSE round(CASE WHEN correct AND k % 2 = 0 THEN 0.8 + 0.2 * q WHEN correct THEN 0.65 + 0.1 * q WHEN k % 2 = 0 THEN 0.4 + 0.1 * q ELSE 0.1 + 0.2 * q END, 6) END AS reward FROM (SELECT *, least(1.0, greatest(0.0, s.reward / 100)) AS q FROM s)",
+)
+add(
+    "score_tri_state",
+    lambda s, d: _samples(s, d).groupBy(scoring.tri_state(F.col("k") > 5, ~F.col("timeout"), F.when(F.col("correct"), "PASS").when(F.col("error"), "FAIL").otherwise("UNKNOWN"), F.col("reward") > 10).alias("state")).agg(F.count(F.lit(1)).alias("n")),
+    f"WITH s AS ({_S}) SELECT CASE WHEN k <= 5 OR timeout THEN 'UNKNOWN' WHEN correct THEN CASE WHEN reward > 10 THEN 'PASS' ELSE 'FAIL' END WHEN error THEN 'FAIL' ELSE 'UNKNOWN' END AS state, count(*) AS n FROM s GROUP BY 1",
+)
+add("score_gated_process", lambda s, d: _samples(s, d).select("event_id", scoring.gated_process(~F.col("error"), F.col("correct"), F.col("reward") / 100).alias("reward")), f"WITH s AS ({_S}) SELECT event_id, round(CASE WHEN error OR NOT correct THEN 0 ELSE 1 + 0.1 * least(1.0, greatest(0.0, reward / 100)) END, 6) AS reward FROM s")
+add(
+    "score_observed_mean",
+    lambda s, d: _samples(s, d).select("event_id", scoring.observed_mean([(F.when(F.col("k") % 2 == 0, F.col("reward")), 0.3), (F.when(F.col("k") % 3 == 0, F.col("reward") * 2), 0.7)]).alias("score")),
+    f"WITH s AS ({_S}) SELECT event_id, round((CASE WHEN k % 2 = 0 THEN reward * 0.3 ELSE 0 END + CASE WHEN k % 3 = 0 THEN reward * 2 * 0.7 ELSE 0 END) / nullif(CASE WHEN k % 2 = 0 THEN 0.3 ELSE 0 END + CASE WHEN k % 3 = 0 THEN 0.7 ELSE 0 END, 0), 6) AS score FROM s",
+)
+
+# --- statistics -------------------------------------------------------------------------------------------------------
+
+
+def _wilson(x: DataFrame) -> DataFrame:
+    g = x.groupBy("step").agg(F.sum(F.col("correct").cast("bigint")).alias("c"), F.count(F.lit(1)).alias("n"))
+    low, high = stats.wilson(F.col("c"), F.col("n"))
+    return g.select("step", "c", "n", low.alias("low"), high.alias("high"))
+
+
+add(
+    "stats_wilson",
+    over(_wilson),
+    f"WITH s AS ({_S}), g AS (SELECT step, CAST(sum(correct::INT) AS BIGINT) c, count(*) n, 1.959963984540054::DOUBLE z FROM s GROUP BY 1), h AS (SELECT *, c::DOUBLE / n p FROM g) SELECT step, c, n, round(greatest(0, (p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) / (1 + z * z / n)), 6) AS low, round(least(1, (p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) / (1 + z * z / n)), 6) AS high FROM h",
+)
+add(
+    "stats_pearson",
+    over(lambda x: stats.pearson(x, "reward", "k", ["event_type"])),
+    f"WITH s AS ({_S}) SELECT event_type, count(*) AS n, round(corr(reward, k), 4) AS r FROM s WHERE reward IS NOT NULL AND k IS NOT NULL GROUP BY 1",
+)
+
+
+def _rates(x: DataFrame) -> DataFrame:
+    g = x.groupBy("task").agg(F.avg(F.when(F.col("step") <= 15, F.col("correct").cast("int"))).alias("p"), F.avg(F.when(F.col("step") > 15, F.col("correct").cast("int"))).alias("q"))
+    return g.where("p is not null and q is not null").select("task", stats.bernoulli_js(F.col("p"), F.col("q")).alias("js"))
+
+
+add(
+    "stats_js_divergence",
+    over(_rates),
+    f"WITH s AS ({_S}), g AS (SELECT task, avg(correct::INT) FILTER (WHERE step <= 15) p, avg(correct::INT) FILTER (WHERE step > 15) q FROM s GROUP BY 1), m AS (SELECT *, (p + q) / 2 m FROM g WHERE p IS NOT NULL AND q IS NOT NULL) SELECT task, round((CASE WHEN p > 0 THEN p * log2(p / m) ELSE 0 END + CASE WHEN p < 1 THEN (1 - p) * log2((1 - p) / (1 - m)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / m) ELSE 0 END + CASE WHEN q < 1 THEN (1 - q) * log2((1 - q) / (1 - m)) ELSE 0 END) / 2, 6) AS js FROM m",
+)
+
+
+def _arms(x: DataFrame) -> tuple[DataFrame, DataFrame]:
+    arm = lambda y: y.groupBy("task").agg(F.round(F.avg("reward"), 6).alias("score"))
+    return arm(x.where("step <= 15")), arm(x.where("step > 15"))
+
+
+_ARMS = f"WITH s AS ({_S}), d AS (SELECT task, round(avg(reward) FILTER (WHERE step > 15), 6) - round(avg(reward) FILTER (WHERE step <= 15), 6) AS x FROM s GROUP BY 1)"
+add("stats_paired", over(lambda x: stats.paired(*_arms(x), "task", "score")), f"{_ARMS} SELECT count(x) AS n, count(*) FILTER (WHERE x > 1e-12) AS wins, count(*) FILTER (WHERE x < -1e-12) AS losses, count(*) FILTER (WHERE abs(x) <= 1e-12) AS ties, round(avg(x), 6) AS mean_delta FROM d")
+add("stats_sign_test", over(lambda x: stats.paired(*_arms(x), "task", "score").select("wins", "losses", stats.sign_test("wins", "losses").alias("p_value"))))
+add("stats_bootstrap", over(lambda x: stats.bootstrap(x.select("event_id", "reward"), "reward", 500)))
+add(
+    "stats_timeout_bounds",
+    over(lambda x: stats.timeout_bounds(x.groupBy("step").agg(F.max("reward").alias("slowest")), "slowest", [200.0, 300.0, 400.0])),
+    f"WITH s AS ({_S}), g AS (SELECT step, max(reward) m FROM s GROUP BY 1) SELECT CAST(t AS DOUBLE) AS threshold, count(*) FILTER (WHERE m > t) AS steps, round(count(*) FILTER (WHERE m > t) / count(*)::DOUBLE, 6) AS share FROM g, (SELECT unnest([200.0, 300.0, 400.0]) AS t) GROUP BY 1",
+)
+add(
+    "stats_gates",
+    over(lambda x: stats.gates(x.agg(F.count(F.lit(1)).alias("n"), F.avg("reward").alias("m"), F.max("step").alias("s")), {"enough_rows": F.col("n") > 100, "mean_in_range": F.col("m").between(40, 60), "all_steps": F.col("s") >= 31})),
+    f"WITH s AS ({_S}), g AS (SELECT count(*) n, avg(reward) m, max(step) t FROM s) SELECT 'enough_rows' AS rule, n > 100 AS passed FROM g UNION ALL SELECT 'mean_in_range', m BETWEEN 40 AND 60 FROM g UNION ALL SELECT 'all_steps', t >= 31 FROM g",
+)
+
+# --- telemetry and state ----------------------------------------------------------------------------------------------
+add(
+    "telemetry_throughput",
+    over(lambda x: telemetry.throughput(x.withColumn("one", F.lit(1)).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "ts", "one", "k", ["event_type"])),
+    f"WITH s AS ({_S}) SELECT event_type, round(count(*) / h, 4) AS items_per_hour, round(sum(k) / h, 4) AS tokens_per_hour FROM (SELECT *, (epoch_us(max(ts) OVER (PARTITION BY event_type)) - epoch_us(min(ts) OVER (PARTITION BY event_type))) / 3600000000.0 AS h FROM s) GROUP BY event_type, h",
+)
+add(
+    "telemetry_step_metrics",
+    over(lambda x: telemetry.step_metrics(x.select("event_id", F.concat(F.lit("step:"), F.col("step").cast("string"), F.lit(" - actor/k:"), F.col("k").cast("string"), F.lit(" - reward:"), F.format_string("%.2f", "reward")).alias("line")), "line", "event_id")),
+    f"WITH s AS ({_S}) SELECT step, 'actor/k' AS metric, CAST(arg_max(k, event_id) AS DOUBLE) AS value FROM s GROUP BY 1 UNION ALL SELECT step, 'reward', arg_max(reward, event_id) FROM s GROUP BY 1",
+)
+add(
+    "telemetry_last_counters",
+    over(lambda x: telemetry.last_counters(x.withColumn("hits", F.least("k", F.lit(50))), "task", "event_id", "hits", "k")),
+    f"WITH s AS ({_S}) SELECT task, least(arg_max(k, event_id), 50) AS hits, arg_max(k, event_id) AS queries, round(least(arg_max(k, event_id), 50) / nullif(arg_max(k, event_id), 0)::DOUBLE, 6) AS hit_rate FROM s GROUP BY 1",
+)
+
+
+def _buffered(x: DataFrame) -> DataFrame:
+    return resample.resample_batch(x.select(F.col("task").cast("string").alias("group"), F.col("event_id").alias("ord"), F.when(F.col("correct"), "PASS").when(F.col("error"), "FAIL").otherwise("UNKNOWN").alias("verdict")))
+
+
+add("state_resample_buffer", over(_buffered))
+add(
+    "state_waves",
+    over(lambda x: resample.waves(x, "task", "event_id", "correct")),
+    f"WITH s AS ({_S}), r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY event_id) rn FROM s), p AS (SELECT task, (rn - 1) // 2 + 1 AS wave, count(*) n, sum(correct::INT) c FROM r WHERE rn <= 8 GROUP BY 1, 2), q AS (SELECT task, wave, CAST(sum(n) OVER w AS BIGINT) samples, CAST(sum(c) OVER w AS BIGINT) correct FROM p WINDOW w AS (PARTITION BY task ORDER BY wave)), m AS (SELECT *, correct > 0 AND correct < samples AS mixed FROM q), b AS (SELECT *, coalesce(max(mixed::INT) OVER (PARTITION BY task ORDER BY wave ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m) SELECT task, wave, samples, correct, CASE WHEN mixed THEN 'mixed' WHEN wave = 4 THEN 'unresolved' ELSE 'continue' END AS state FROM b WHERE before = 0",
+)
+add(
+    "state_pending",
+    lambda s, d: resample.pending(table(s, d, "training_record").select("record_id"), table(s, d, "trajectory"), ["record_id"]),
+    "SELECT record_id FROM training_record WHERE record_id NOT IN (SELECT record_id FROM trajectory WHERE record_id IS NOT NULL)",
+)
+
+# --- nested records ---------------------------------------------------------------------------------------------------
+add("p5_found", nested.p5_found)
+for _name in nested.TABLES:
+    add(f"p5_{_name}", nested.p5_table(_name))
+
+
+def queries() -> dict[str, Query]:
+    return {name: fn for name, (fn, _) in _Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _Q.items() if sql}
