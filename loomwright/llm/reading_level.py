@@ -178,7 +178,8 @@ def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
         b = model.get(name)
         return sum((F.lit(w) * F.col(c) for w, c in zip(b[1:], FEATURES)), F.lit(b[0])) if b else F.lit(None).cast("double")
 
-    g = f.withColumn("grade", F.round(F.greatest(F.lit(GRADES[0]), F.least(F.lit(GRADES[1]), F.when(F.col("han"), fit("han")).otherwise(fit("latin")))), 3))
+    f = f.withColumn("_g", F.when(F.col("han"), fit("han")).otherwise(fit("latin")))
+    g = f.withColumn("grade", F.when(F.col("_g").isNotNull(), F.round(F.greatest(F.lit(GRADES[0]), F.least(F.lit(GRADES[1]), F.col("_g"))), 3)))
     keys = docs.select("doc_id", "source", "lang").where("doc_id is not null").groupBy("doc_id").agg(F.min("source").alias("source"), F.min("lang").alias("lang"))
     return keys.join(g.select("doc_id", "words", "coverage_rank", "grade"), "doc_id", "left")
 
