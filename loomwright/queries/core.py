@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sql_text
 from ..functions import tables as tbl
 from ..functions import text as tx
-from ..operators import curate, groups, nested, scoring, stats, telemetry
+from ..operators import audit, curate, groups, nested, scoring, stats, telemetry
 from ..plans.query_plan import Join, QueryPlan, baseline_gap, filled, period_change, share, weighted_score
 from ..session import table
+from ..sources import readers, synthetic
 from ..streaming import resample
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -487,6 +489,70 @@ add(
     "SELECT record_id FROM training_record WHERE record_id NOT IN (SELECT record_id FROM trajectory WHERE record_id IS NOT NULL)",
 )
 
+# --- audits -----------------------------------------------------------------------------------------------------------
+add(
+    "audit_keys",
+    lambda s, d: audit.key_audit(table(s, d, "shipments"), ["shipment_id"]),
+    "WITH g AS (SELECT shipment_id k, count(*) n FROM shipments GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS rows, count(k) AS distinct_keys, CAST(coalesce(sum(n) FILTER (WHERE k IS NULL), 0) AS BIGINT) AS null_keys, count(*) FILTER (WHERE n > 1 AND k IS NOT NULL) AS duplicate_keys FROM g",
+)
+add(
+    "audit_references",
+    lambda s, d: audit.reference_audit(table(s, d, "shipments"), "carrier_id", table(s, d, "carriers"), "carrier_id"),
+    "SELECT carrier_id AS value, count(*) AS n FROM shipments WHERE carrier_id IS NOT NULL AND carrier_id NOT IN (SELECT carrier_id FROM carriers) GROUP BY 1",
+)
+add(
+    "audit_checks",
+    lambda s, d: audit.check_audit(table(s, d, "shipments"), {"weight_positive": F.col("weight_kg") > 0, "amount_not_negative": F.col("freight_amount") >= 0, "hours_known": F.col("delivery_hours").isNotNull()}),
+    'WITH s AS (SELECT weight_kg > 0 a, freight_amount >= 0 b, delivery_hours IS NOT NULL c FROM shipments) SELECT \'weight_positive\' AS "check", count(*) FILTER (WHERE a) AS passed, count(*) FILTER (WHERE NOT a) AS failed, count(*) FILTER (WHERE a IS NULL) AS unknown FROM s UNION ALL SELECT \'amount_not_negative\', count(*) FILTER (WHERE b), count(*) FILTER (WHERE NOT b), count(*) FILTER (WHERE b IS NULL) FROM s UNION ALL SELECT \'hours_known\', count(*) FILTER (WHERE c), count(*) FILTER (WHERE NOT c), count(*) FILTER (WHERE c IS NULL) FROM s',
+)
+add(
+    "audit_field_summary",
+    lambda s, d: audit.field_summary(table(s, d, "shipments"), ["weight_kg", "delivery_hours"]),
+    "SELECT 'weight_kg' AS field, count(weight_kg) AS present, count(*) - count(weight_kg) AS missing, round(avg(weight_kg), 6) AS mean, round(count(*) FILTER (WHERE weight_kg > 0) / nullif(count(weight_kg), 0)::DOUBLE, 6) AS positive_rate FROM shipments UNION ALL SELECT 'delivery_hours', count(delivery_hours), count(*) - count(delivery_hours), round(avg(delivery_hours), 6), round(count(*) FILTER (WHERE delivery_hours > 0) / nullif(count(delivery_hours), 0)::DOUBLE, 6) FROM shipments",
+)
+add(
+    "audit_formula",
+    lambda s, d: audit.formula_mismatches(table(s, d, "shipments"), "delayed_flag", (F.col("delivery_hours") > 72).cast("int"), "service_level"),
+    "SELECT service_level, count(*) AS n, count(*) FILTER (WHERE delayed_flag IS DISTINCT FROM (delivery_hours > 72)::INT) AS mismatches FROM shipments GROUP BY 1",
+)
+add(
+    "audit_alignment",
+    lambda s, d: table(s, d, "training_record").select(audit.alignment_reasons(F.element_at(F.filter("prompt", lambda m: m["role"] == "user"), -1)["content"], F.col(_SQLCOL), F.col("reward_model.ground_truth.answer_type")).alias("warnings")).groupBy("warnings").agg(F.count(F.lit(1)).alias("n")),
+)
+add("audit_order_binding", lambda s, d: table(s, d, "training_record").groupBy(audit.order_binding(F.col(_SQLCOL), F.element_at(F.filter("prompt", lambda m: m["role"] == "user"), -1)["content"]).alias("bound"), F.col("reward_model.ground_truth.answer_type").alias("answer_type")).agg(F.count(F.lit(1)).alias("n")))
+add(
+    "audit_bag_difference",
+    lambda s, d: audit.bag_difference(table(s, d, "shipments").select("carrier_id", "status"), table(s, d, "shipments").dropDuplicates(["shipment_id"]).select("carrier_id", "status")),
+    "SELECT count(*) - count(DISTINCT shipment_id) AS only_left, CAST(0 AS BIGINT) AS only_right FROM shipments",
+)
+add(
+    "audit_openings",
+    lambda s, d: audit.opening_gate(table(s, d, "task"), "natural_language_instruction"),
+)
+add("verify_numbers_match", lambda s, d: _answered(s, d).groupBy(F.col("g.answer_type").alias("answer_type"), audit.numbers_match(F.col("final_answer"), F.col("g.expected_value_json")).alias("matched")).agg(F.count(F.lit(1)).alias("n")))
+add(
+    "audit_delta_drivers",
+    over(lambda x: audit.delta_drivers(x.groupBy("task").agg(*(F.round(F.coalesce(F.avg(F.when(c, v)), F.lit(0.0)), 6).alias(n) for n, c, v in (("a1", F.col("step") <= 15, F.col("reward")), ("b1", F.col("step") > 15, F.col("reward")), ("a2", F.col("step") <= 15, F.col("k")), ("b2", F.col("step") > 15, F.col("k"))))), "task", {"reward_part": (0.5 * F.col("a1"), 0.5 * F.col("b1")), "k_part": (0.5 * F.col("a2"), 0.5 * F.col("b2"))}, (F.round(0.5 * F.col("a1") + 0.5 * F.col("a2"), 2), F.round(0.5 * F.col("b1") + 0.5 * F.col("b2"), 2))).agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("rest"))).alias("largest_rest"))),
+)
+
+# --- SQL text and transcripts -----------------------------------------------------------------------------------------
+add("sql_families", lambda s, d: table(s, d, "training_record").groupBy(sql_text.literal_free_udf(F.col(_SQLCOL)).alias("family")).agg(F.count(F.lit(1)).alias("n")))
+add("sql_signatures", lambda s, d: table(s, d, "training_record").select("record_id", sql_text.signature_udf(F.col(_SQLCOL)).alias("s")).groupBy("s.tables", "s.group", "s.limit").agg(F.count(F.lit(1)).alias("n")))
+add("sql_in_commands", lambda s, d: table(s, d, "trajectory").select("trajectory_id", F.explode("pi_tool_events").alias("e")).where("e.arguments.command is not null").select("trajectory_id", F.size(sql_text.selects_udf(F.col("e.arguments.command"))).alias("found"), F.coalesce(F.size("e.sql_statements"), F.lit(0)).alias("given")).groupBy("found", "given").agg(F.count(F.lit(1)).alias("n")))
+add("sql_first_query_difference", lambda s, d: _answered(s, d).select("trajectory_id", F.try_element_at(F.flatten(F.transform(F.col("pi_tool_events"), lambda e: F.coalesce(e["sql_statements"], F.array().cast("array<string>")))), F.lit(1)).alias("q"), F.col("g.verification_sql").alias("gold")).where("q is not null and gold is not null").select(F.coalesce(F.get(sql_text.difference_udf("q", "gold"), 0), F.lit("same")).alias("difference")).groupBy("difference").agg(F.count(F.lit(1)).alias("n")))
+add("transcript_messages", lambda s, d: table(s, d, "trajectory").select(F.explode(sql_text.messages_udf("trajectory_output")).alias("m")).groupBy("m.role", F.col("m.call_name").alias("call_name")).agg(F.count(F.lit(1)).alias("n")))
+add("transcript_identity", lambda s, d: table(s, d, "task").select("task_no", sql_text.canonical_hash_udf("gold_answer.value_json").alias("gold_sha256")))
+add("token_edit_masks", lambda s, d: _answered(s, d).select("trajectory_id", F.transform(F.split("g.verification_sql", r"\s+"), lambda w: (F.crc32(w) % 2147483647).cast("int")).alias("a"), F.transform(F.split(F.coalesce(F.try_element_at(F.flatten(F.transform("pi_tool_events", lambda e: F.coalesce(e["sql_statements"], F.array().cast("array<string>")))), F.lit(1)), F.lit("")), r"\s+"), lambda w: (F.crc32(w) % 2147483647).cast("int")).alias("b")).where("a is not null").select("trajectory_id", F.aggregate(sql_text.edit_mask_udf("a", "b"), F.lit(0), lambda t, x: t + x).alias("changed")))
+
+# --- sources ----------------------------------------------------------------------------------------------------------
+add("source_rendered_json", lambda s, d: readers.rendered(table(s, d, "region").orderBy("r_regionkey")), """SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS line FROM region""")
+add("source_rendered_text", lambda s, d: readers.rendered(table(s, d, "region"), "text"), "SELECT r_regionkey || '|' || r_name AS line FROM region")
+add("source_file_hashes", lambda s, d: readers.file_hashes(s, f"{d}/nation.parquet").select("bytes", "sha256"))
+add("source_environments", lambda s, d: table(s, d, "training_record").select(F.col("extra_info.environment_id").alias("environment_id")).distinct(), "SELECT DISTINCT extra_info.environment_id AS environment_id FROM training_record")
+add("source_synthetic_star", lambda s, d: (lambda t: t["shipments"].join(t["carriers"], "carrier_id").groupBy("carrier_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("freight_amount"), 2).alias("freight")))(synthetic.star(s)))
+add("source_task_grid", lambda s, d: synthetic.task_grid(s, ["sum", "mean", "rate"], ["carrier", "region"], ["2024-01", "2024-02", "2024-03"], [3, 5], 8, "g").groupBy("level").agg(F.count(F.lit(1)).alias("n")))
+add("event_time_windows", lambda s, d: resample.event_windows(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day", "1 hour", "event_type").groupBy("event_type").agg(F.count(F.lit(1)).alias("windows"), F.sum("n").alias("n")), "SELECT event_type, count(DISTINCT CAST(ts AS DATE)) AS windows, count(*) AS n FROM events GROUP BY 1")
+
 # --- nested records ---------------------------------------------------------------------------------------------------
 add("p5_found", nested.p5_found)
 for _name in nested.TABLES:
