@@ -185,12 +185,29 @@ class FMIndex:
         t = np.searchsorted(self.starts, positions, side="right") - 1
         return t, positions - self.starts[t]
 
-    def maximal_matches(self, texts: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def maximal_matches(self, texts: list[np.ndarray], least: int, segment: int = 2_000, cells: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, start, length, lo, hi) of the greedy right-to-left maximal matches of at least `least` own ids.
 
-        All texts go backward together, one symbol a round; a text whose range becomes empty closes its match there
-        and begins the next one at the same symbol.
+        Texts go backward together, one symbol a round; a text whose range becomes empty closes its match there and
+        begins the next one at the same symbol. Texts longer than a segment are searched in segments, at whose borders
+        a match ends; segments of like length share a batch of at most `cells` symbols.
         """
+        parts = [(i, k, t[k : k + segment]) for i, t in enumerate(texts) for k in range(0, len(t), segment)]
+        parts.sort(key=lambda p: len(p[2]))
+        found, a = [], 0
+        while a < len(parts):
+            b = a + 1
+            while b < len(parts) and (b + 1 - a) * len(parts[b][2]) <= cells:
+                b += 1
+            at, start, *rest = self._matches([p[2] for p in parts[a:b]], least)
+            no, base = np.array([p[0] for p in parts[a:b]], np.int64), np.array([p[1] for p in parts[a:b]], np.int64)
+            found.append((no[at], start + base[at], *rest))
+            a = b
+        if not found:
+            return tuple(np.zeros(0, np.int64) for _ in range(5))  # type: ignore[return-value]
+        return tuple(np.concatenate(x) for x in zip(*found))  # type: ignore[return-value]
+
+    def _matches(self, texts: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         m = len(texts)
         pos = np.array([len(t) for t in texts], np.int64)
         size = int(pos.max()) if m else 0
