@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import sql_text
 from ..functions import tables as tbl
 from ..functions import text as tx
-from ..operators import audit, curate, groups, nested, scoring, stats, telemetry
+from ..operators import audit, curate, groups, nested, scoring, select, stats, telemetry
+from ..operators import trajectories as traj
 from ..plans.query_plan import Join, QueryPlan, baseline_gap, filled, period_change, share, weighted_score
 from ..session import table
 from ..sources import readers, synthetic
@@ -535,6 +536,80 @@ add(
     over(lambda x: audit.delta_drivers(x.groupBy("task").agg(*(F.round(F.coalesce(F.avg(F.when(c, v)), F.lit(0.0)), 6).alias(n) for n, c, v in (("a1", F.col("step") <= 15, F.col("reward")), ("b1", F.col("step") > 15, F.col("reward")), ("a2", F.col("step") <= 15, F.col("k")), ("b2", F.col("step") > 15, F.col("k"))))), "task", {"reward_part": (0.5 * F.col("a1"), 0.5 * F.col("b1")), "k_part": (0.5 * F.col("a2"), 0.5 * F.col("b2"))}, (F.round(0.5 * F.col("a1") + 0.5 * F.col("a2"), 2), F.round(0.5 * F.col("b1") + 0.5 * F.col("b2"), 2))).agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("rest"))).alias("largest_rest"))),
 )
 
+# --- trajectories and selection ---------------------------------------------------------------------------------------
+add(
+    "traj_event_profile",
+    lambda s, d: traj.event_profile(table(s, d, "trajectory")).select("trajectory_id", "events", "ok_events", "queries", "tool_tokens"),
+    "SELECT trajectory_id, CAST(coalesce(len(pi_tool_events), 0) AS INTEGER) AS events, CAST(len(list_filter(coalesce(pi_tool_events, []), lambda e: coalesce(e.ok, false))) AS INTEGER) AS ok_events, CAST(coalesce(list_sum(list_transform(coalesce(pi_tool_events, []), lambda e: coalesce(len(e.sql_statements), 0))), 0) AS INTEGER) AS queries, CAST(coalesce(list_sum(list_transform(coalesce(pi_tool_events, []), lambda e: coalesce(e.response_token_count, 0))), 0) AS BIGINT) AS tool_tokens FROM trajectory",
+)
+add("traj_valid_events", lambda s, d: traj.event_profile(table(s, d, "trajectory")).groupBy("all_valid").agg(F.count(F.lit(1)).alias("n"), F.sum("valid_events").alias("valid"), F.sum("distinct_queries").alias("distinct_queries")))
+add(
+    "traj_recovered_within",
+    lambda s, d: traj.recovered_within(table(s, d, "trajectory").select(traj.first_index(F.col("pi_tool_events"), lambda e: e["ok"] & (e["name"] == "bash")).alias("i")), "i", [1, 2, 3]),
+    "WITH i AS (SELECT (SELECT min(x) FROM (SELECT unnest(range(len(pi_tool_events))) x) q WHERE pi_tool_events[x + 1].ok AND pi_tool_events[x + 1].name = 'bash') AS i FROM trajectory) SELECT count(*) AS n, count(*) FILTER (WHERE i < 1) AS within_1, count(*) FILTER (WHERE i < 2) AS within_2, count(*) FILTER (WHERE i < 3) AS within_3, count(i) AS any_hit, count(*) FILTER (WHERE i IS NULL) AS never FROM i",
+)
+add(
+    "traj_paired_calls",
+    lambda s, d: table(s, d, "chat_log").select("chat_id", F.explode(traj.paired_calls(F.col("messages"))).alias("c")).groupBy("c.name", F.col("c.response").isNotNull().alias("answered")).agg(F.count(F.lit(1)).alias("n")),
+    "WITH c AS (SELECT chat_id, messages, unnest(list_transform(list_filter(messages, lambda m: m.tool_calls IS NOT NULL), lambda m: m.tool_calls)) cs FROM chat_log), e AS (SELECT messages, unnest(cs) c FROM c) SELECT c.name AS name, coalesce(list_filter(messages, lambda m: m.role = 'tool' AND m.tool_call_id = c.id)[1].content IS NOT NULL, false) AS answered, count(*) AS n FROM e GROUP BY 1, 2",
+)
+
+
+def _conclusions(s: SparkSession, d: str) -> DataFrame:
+    value, reason = traj.unique_conclusion(F.col("final_answer"))
+    return table(s, d, "trajectory").select(value.alias("v"), reason.alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("with_value"))
+
+
+add("traj_unique_conclusion", _conclusions)
+add("traj_path_states", lambda s, d: table(s, d, "trajectory").select(F.explode("pi_tool_events").alias("e")).groupBy(traj.path_state(F.col("e.arguments.path")).alias("state")).agg(F.count(F.lit(1)).alias("n")))
+add(
+    "traj_outcome_ladder",
+    over(lambda x: x.groupBy(traj.outcome_ladder(F.col("k") > 2, F.col("correct"), ~F.col("error"), F.col("k") % 2 == 0, F.col("reward") > 30).alias("score")).agg(F.count(F.lit(1)).alias("n"))),
+    f"WITH s AS ({_S}) SELECT CAST(CASE WHEN correct AND k % 2 = 0 THEN 1 WHEN correct THEN 0.85 WHEN k % 2 = 0 AND reward > 30 THEN 0.2 WHEN k % 2 = 0 THEN 0.15 WHEN NOT error OR k > 2 THEN 0.05 ELSE 0 END AS DOUBLE) AS score, count(*) AS n FROM s GROUP BY 1",
+)
+add(
+    "traj_outcome_classes",
+    over(lambda x: x.groupBy(traj.outcome_class(F.when(F.col("k") > 10, F.lit("q")), F.col("error"), F.col("k") % 7, F.col("correct")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))),
+    f"WITH s AS ({_S}) SELECT CASE WHEN NOT k > 10 THEN 'no_query' WHEN error THEN 'execution_error' WHEN k % 7 = 0 THEN 'empty' WHEN correct THEN 'verified' ELSE 'wrong' END AS outcome, count(*) AS n FROM s GROUP BY 1",
+)
+add(
+    "traj_first_divergence",
+    over(lambda x: x.groupBy("task").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("step") <= 15, F.struct("event_id", "event_type")))), lambda e: e["event_type"]).alias("a"), F.transform(F.array_sort(F.collect_list(F.when(F.col("step") > 15, F.struct("event_id", "event_type")))), lambda e: e["event_type"]).alias("b")).select("task", traj.first_divergence(F.col("a"), F.col("b")).alias("at"))),
+    f"WITH s AS ({_S}), r AS (SELECT task, event_type, step <= 15 AS early, row_number() OVER (PARTITION BY task, step <= 15 ORDER BY event_id) - 1 AS i FROM s), j AS (SELECT coalesce(a.task, b.task) task, coalesce(a.i, b.i) i, a.event_type x, b.event_type y FROM (SELECT * FROM r WHERE early) a FULL JOIN (SELECT * FROM r WHERE NOT early) b ON a.task = b.task AND a.i = b.i) SELECT task, CAST(min(i) FILTER (WHERE x IS DISTINCT FROM y) AS INTEGER) AS at FROM j GROUP BY 1",
+)
+add(
+    "select_risk",
+    lambda s, d: table(s, d, "task").select("task_no", select.risk(F.col("expected_tables"), {"shipments": 2, "carriers": 3}).alias("risk")),
+    "SELECT task_no, CAST(coalesce(list_sum(list_transform(expected_tables, lambda t: CASE t WHEN 'shipments' THEN 2 WHEN 'carriers' THEN 3 ELSE 1 END)), 0) AS INTEGER) AS risk FROM task",
+)
+add(
+    "select_pools",
+    lambda s, d: select.pools(table(s, d, "task").select("task_no", "task_id", "task_type", "difficulty_level"), "task_no", [("hard", F.col("difficulty_level") >= 4, 30), ("untyped", F.col("task_type").isNull(), 20), ("rest", F.lit(True), 50)], curate.seeded("p", "task_id")).select("task_no", "pool", "place"),
+    "WITH p AS (SELECT task_no, task_id, CASE WHEN difficulty_level >= 4 THEN 'hard' WHEN task_type IS NULL THEN 'untyped' ELSE 'rest' END AS pool FROM task), r AS (SELECT task_no, pool, CAST(row_number() OVER (PARTITION BY pool ORDER BY sha256('p:' || task_id), task_no) AS INTEGER) AS place FROM p) SELECT * FROM r WHERE place <= CASE pool WHEN 'hard' THEN 30 WHEN 'untyped' THEN 20 ELSE 50 END",
+)
+add(
+    "select_in_order",
+    lambda s, d: select.in_order(table(s, d, "nation").select("n_name", "n_nationkey"), "n_nationkey", [7, 3, 11]),
+    "SELECT n_name, n_nationkey, CAST(list_position([7, 3, 11], n_nationkey) AS BIGINT) AS position FROM nation WHERE n_nationkey IN (7, 3, 11)",
+)
+add(
+    "select_reviewed",
+    lambda s, d: select.reviewed(table(s, d, "task").select("task_id"), table(s, d, "training_record").select(F.col("reward_model.ground_truth.task_id").alias("task_id"), F.col("extra_info.training_allowed").alias("ok"), F.col("extra_info.gold_sha256").isNotNull().alias("gold")), ["task_id"], ["ok", "gold"]).groupBy("decision").agg(F.count(F.lit(1)).alias("n")),
+    "WITH r AS (SELECT reward_model.ground_truth.task_id AS task_id, bool_and(coalesce(extra_info.training_allowed, false) AND extra_info.gold_sha256 IS NOT NULL) ok FROM training_record GROUP BY 1) SELECT CASE WHEN ok IS NULL THEN 'unreviewed' WHEN ok THEN 'approved' ELSE 'rejected' END AS decision, count(*) AS n FROM task LEFT JOIN r USING (task_id) GROUP BY 1",
+)
+add(
+    "select_matched_by_priority",
+    lambda s, d: select.matched_by_priority(table(s, d, "chat_log").select("chat_id", "task_id", F.element_at(F.filter("messages", lambda m: m["role"] == "user"), -1)["content"].alias("ask")), table(s, d, "task").select("task_no", F.col("task_id").alias("tid"), F.col("natural_language_instruction").alias("text")), ("task_id", "tid"), ("ask", "text"), "task_no").groupBy("how").agg(F.count(F.lit(1)).alias("n"), F.sum("match_id").alias("ids")),
+    "WITH c AS (SELECT chat_id, task_id, list_filter(messages, lambda m: m.role = 'user')[-1].content AS ask FROM chat_log), a AS (SELECT task_id, count(*) na, min(task_no) ka FROM task GROUP BY 1), b AS (SELECT natural_language_instruction ask, count(*) nb, min(task_no) kb FROM task WHERE natural_language_instruction IS NOT NULL GROUP BY 1), j AS (SELECT CASE WHEN coalesce(na, nb) IS NULL THEN 'missing' WHEN coalesce(na, nb) > 1 THEN 'ambiguous' WHEN na IS NOT NULL THEN 'first' ELSE 'second' END AS how, CASE WHEN coalesce(na, nb) = 1 THEN coalesce(ka, kb) END AS k FROM c LEFT JOIN a USING (task_id) LEFT JOIN b USING (ask)) SELECT how, count(*) AS n, CAST(sum(k) AS BIGINT) AS ids FROM j GROUP BY 1",
+)
+add("select_assign_groups", lambda s, d: select.assign_groups(table(s, d, "training_record").select("record_id", F.coalesce("extra_info.instruction_sha256", F.col("record_id").cast("string")).alias("g")), "g", {"train": 300, "test": 100}, curate.seeded("a", "g")).groupBy("split").agg(F.count(F.lit(1)).alias("n")))
+add("select_diverse", lambda s, d: select.diverse(table(s, d, "source_spec").select("label", "split"), "label", ["split"], 6, "label").select("label", "split", "turn"), "SELECT label, split, CAST(t AS INTEGER) AS turn FROM (SELECT label, split, row_number() OVER (ORDER BY rn, label) t FROM (SELECT label, split, row_number() OVER (PARTITION BY split ORDER BY label) rn FROM source_spec)) WHERE t <= 6")
+add(
+    "set_disjoint_union",
+    lambda s, d: select.disjoint_union({"first": table(s, d, "task").where("task_no % 2 = 0").select("task_id"), "second": table(s, d, "task").where("task_no % 3 = 0").select("task_id")}, "task_id")[1],
+    "SELECT task_id, CAST(2 AS BIGINT) AS parts FROM task WHERE task_no % 6 = 0",
+)
+
 # --- SQL text and transcripts -----------------------------------------------------------------------------------------
 add("sql_families", lambda s, d: table(s, d, "training_record").groupBy(sql_text.literal_free_udf(F.col(_SQLCOL)).alias("family")).agg(F.count(F.lit(1)).alias("n")))
 add("sql_signatures", lambda s, d: table(s, d, "training_record").select("record_id", sql_text.signature_udf(F.col(_SQLCOL)).alias("s")).groupBy("s.tables", "s.group", "s.limit").agg(F.count(F.lit(1)).alias("n")))
