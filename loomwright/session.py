@@ -48,7 +48,7 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if not _SCRATCH:
         atexit.register(lambda: [_remove(spark, p) for _, p in list(_SCRATCH)])
     _SCRATCH.add((os.getpid(), path))
