@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sql_text
 from ..functions import tables as tbl
 from ..functions import text as tx
-from ..operators import audit, curate, groups, nested, scoring, select, stats, telemetry
+from ..operators import audit, curate, groups, more, nested, scoring, select, stats, telemetry
 from ..operators import trajectories as traj
 from ..plans.query_plan import Join, QueryPlan, baseline_gap, filled, period_change, share, weighted_score
 from ..session import table
@@ -610,6 +610,51 @@ add(
     "SELECT task_id, CAST(2 AS BIGINT) AS parts FROM task WHERE task_no % 6 = 0",
 )
 
+# --- further analytics ------------------------------------------------------------------------------------------------
+add(
+    "more_catalogue_profile",
+    lambda s, d: more.catalogue_profile(table(s, d, "task"), "environment_id", ["task_type", "difficulty_level", "qa_status"]),
+    "SELECT environment_id, 'task_type' AS kind, task_type AS value, count(*) AS n FROM task GROUP BY 1, 3 UNION ALL SELECT environment_id, 'difficulty_level', CAST(difficulty_level AS VARCHAR), count(*) FROM task GROUP BY 1, 3 UNION ALL SELECT environment_id, 'qa_status', qa_status, count(*) FROM task GROUP BY 1, 3",
+)
+add("more_reuse_across", lambda s, d: more.reuse_across(table(s, d, "task"), "natural_language_instruction", "environment_id"), "SELECT versions, count(*) AS keys FROM (SELECT natural_language_instruction, count(DISTINCT environment_id) AS versions FROM task WHERE natural_language_instruction IS NOT NULL GROUP BY 1) GROUP BY 1")
+add("more_weighted_mean", over(lambda x: more.weighted_mean(x, "reward", "k", ["event_type"])), f"WITH s AS ({_S}) SELECT event_type, round(sum(reward * k) / nullif(sum(k), 0), 6) AS weighted_mean, max(reward) AS largest FROM s WHERE reward IS NOT NULL AND k IS NOT NULL GROUP BY 1")
+add(
+    "more_within_range",
+    over(lambda x: more.within_range_of(x, "event_id", x.where("event_type = 'error' and step between 5 and 9"), "event_id", "event_type", "reward")),
+    f"WITH s AS ({_S}), b AS (SELECT min(event_id) lo, max(event_id) hi FROM s WHERE event_type = 'error' AND step BETWEEN 5 AND 9) SELECT event_type, count(*) AS n, round(avg(reward), 6) AS mean FROM s, b WHERE event_id BETWEEN lo AND hi GROUP BY 1",
+)
+add("more_last_rows", lambda s, d: more.last_rows(table(s, d, "orders").select("o_orderkey", "o_totalprice"), 16, ["o_totalprice", "o_orderkey"]), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 16")
+add(
+    "more_expand_arms",
+    lambda s, d: more.expand_arms(table(s, d, "source_spec").select("label"), {"plain": F.col("label"), "upper": F.upper("label"), "tagged": F.concat(F.col("label"), F.lit("#"))}),
+    "SELECT label, 'plain' AS arm, label AS text FROM source_spec UNION ALL SELECT label, 'upper', upper(label) FROM source_spec UNION ALL SELECT label, 'tagged', label || '#' FROM source_spec",
+)
+add(
+    "more_backfilled",
+    lambda s, d: more.backfilled(table(s, d, "task").select("task_no", F.when(F.col("task_no") % 5 > 0, F.sha2("gold_answer.value_json", 256)).alias("h"), "gold_answer"), "h", F.sha2("gold_answer.value_json", 256)).groupBy("repaired").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")),
+    "SELECT (task_no % 5 = 0 AND gold_answer.value_json IS NOT NULL) AS repaired, count(*) AS n, min(sha256(gold_answer.value_json)) AS least FROM task GROUP BY 1",
+)
+add("more_previous_month", lambda s, d: table(s, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month")).distinct().select("month", more.previous_month(F.col("month")).alias("previous")), "SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month, strftime(CAST(date_trunc('month', o_orderdate) AS DATE) - INTERVAL 1 MONTH, '%Y-%m') AS previous FROM orders")
+add(
+    "more_filled_targets",
+    lambda s, d: more.filled_targets(table(s, d, "carriers"), table(s, d, "shipments").where("status = 'withdrawn'"), "carrier_id", F.col("delivery_hours") > 60, "delivery_hours"),
+    "SELECT c.carrier_id, count(*) FILTER (WHERE s.delivery_hours > 60) AS n, round(quantile_cont(s.delivery_hours, 0.5) FILTER (WHERE s.delivery_hours > 60), 6) AS median, CASE WHEN count(s.shipment_id) = 0 THEN 'missing' WHEN count(*) FILTER (WHERE s.delivery_hours > 60) = 0 THEN 'invalid' ELSE 'ok' END AS status FROM carriers c LEFT JOIN (SELECT * FROM shipments WHERE status = 'withdrawn') s ON s.carrier_id = c.carrier_id GROUP BY 1",
+)
+add(
+    "more_unknown_seconds",
+    lambda s, d: table(s, d, "trajectory").groupBy("num_turns").agg(F.round(F.avg(more.unknown_as_null(F.col("trajectory_total_seconds"))), 4).alias("mean_seconds"), F.count(more.unknown_as_null(F.col("trajectory_total_seconds"))).alias("known")),
+    "SELECT num_turns, round(avg(trajectory_total_seconds) FILTER (WHERE trajectory_total_seconds <> -1), 4) AS mean_seconds, count(*) FILTER (WHERE trajectory_total_seconds <> -1) AS known FROM trajectory GROUP BY 1",
+)
+add("more_mutants", lambda s, d: more.mutants(table(s, d, "training_record").select(F.col(_SQLCOL).alias("q")), "q").groupBy("mutation", F.coalesce(F.get(sql_text.difference_udf("mutant", "statement"), 0), F.lit("same")).alias("told_as")).agg(F.count(F.lit(1)).alias("n")))
+add("more_success_tail", lambda s, d: s.range(1, 21).select(F.col("id").alias("trials"), more.success_tail(F.col("id"), F.lit(1), F.lit(1.0), F.lit(1.0)).alias("p")), "SELECT CAST(range AS BIGINT) AS trials, round(range / (range + 1.0), 6)::DOUBLE AS p FROM range(1, 21)")
+add("more_expected_attempts", over(lambda x: x.groupBy("task").agg(F.avg(F.col("correct").cast("int")).alias("p")).select("task", more.expected_attempts(F.col("p"), 8).alias("attempts"))), f"WITH s AS ({_S}) SELECT task, round(CASE WHEN avg(correct::INT) > 0 THEN (1 - pow(1 - avg(correct::INT), 8)) / avg(correct::INT) ELSE 8 END, 6) AS attempts FROM s GROUP BY 1")
+add(
+    "more_correlation_by_bucket",
+    over(lambda x: stats.pearson(x.withColumn("wrong", ~F.col("correct")), "reward", "step", ["wrong"])),
+    f"WITH s AS ({_S}) SELECT NOT correct AS wrong, count(*) AS n, round(corr(reward, step), 4) AS r FROM s GROUP BY 1",
+)
+add("event_daily_buckets", over(lambda x: x.groupBy("step", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("reward"), 4).alias("total"))), f"WITH s AS ({_S}) SELECT step, event_type, count(*) AS n, round(sum(reward), 4) AS total FROM s GROUP BY 1, 2")
+
 # --- SQL text and transcripts -----------------------------------------------------------------------------------------
 add("sql_families", lambda s, d: table(s, d, "training_record").groupBy(sql_text.literal_free_udf(F.col(_SQLCOL)).alias("family")).agg(F.count(F.lit(1)).alias("n")))
 add("sql_signatures", lambda s, d: table(s, d, "training_record").select("record_id", sql_text.signature_udf(F.col(_SQLCOL)).alias("s")).groupBy("s.tables", "s.group", "s.limit").agg(F.count(F.lit(1)).alias("n")))
