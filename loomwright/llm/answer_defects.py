@@ -262,7 +262,8 @@ def judge(trajectories: DataFrame, records: DataFrame, sample_rows: int = SAMPLE
                 if d:
                     cover = [sum(len(c) for c, t in zip(cl, tags) if t == k) for k in range(len(TAGS))]
                     rows.append((tid, d, *cover))
-            yield pd.DataFrame(rows, columns=["trajectory_id", "defect", *TAGS])
+            if rows:
+                yield pd.DataFrame(rows, columns=["trajectory_id", "defect", *TAGS])
 
     schema = "trajectory_id long, defect string, " + ", ".join(f"{t} int" for t in TAGS)
     return answers(trajectories, records).mapInPandas(run, schema)

@@ -10,7 +10,8 @@ Only block sums reach the driver: at most MOST_SOURCES x BLOCKS rows.
 
 Defined results: the corpus size counts all documents; documents with a null source, or without tokens, are never
 chosen; a target without documents or above its cap is filled as far as it goes and its shortfall stays open (it isn't
-given to other sources); repeated document rows count as one; a null or non-positive share chooses nothing.
+given to other sources); repeated document rows count as one; a target with a null or non-positive value
+chooses nothing.
 """
 
 from __future__ import annotations
@@ -54,6 +55,8 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _encoder(tokenizer)
         for b in batches:
+            if not len(b):
+                continue
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in b["text"]]})
 
     src = docs.select("doc_id", "source", "text").where("doc_id is not null")
@@ -89,13 +92,14 @@ def plan(blocks: pd.DataFrame, targets: pd.DataFrame, corpus_tokens: int, seed:
     blocks: source, block, tokens; block order is the permutation.
     """
     takes, units = [], []
+    targets = targets.dropna(subset=["mix_name", "source", "target_share", "max_repeats", "budget_factor"])
     size = {s: g.sort_values("block") for s, g in blocks.groupby("source")}
     for k, (mix, rows) in enumerate(targets.sort_values(["mix_name", "source"]).groupby("mix_name")):
         rng = np.random.default_rng([seed, k])
         quotas, order = [], []
         for r in rows.drop_duplicates("source").itertuples():
             g = size.get(r.source)
-            if g is None or not r.target_share or r.target_share <= 0 or not r.max_repeats or not r.budget_factor:
+            if g is None or r.target_share <= 0 or r.max_repeats <= 0 or r.budget_factor <= 0:
                 continue
             total = int(g.tokens.sum())
             want = min(int(round(r.target_share * r.budget_factor * corpus_tokens)), total * int(r.max_repeats))

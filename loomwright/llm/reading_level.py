@@ -56,7 +56,8 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(held) > 500_000:
             yield pd.DataFrame({"word": list(held.keys()), "n": list(held.values())})
             held.clear()
-    yield pd.DataFrame({"word": list(held.keys()), "n": list(held.values())})
+    if held:
+        yield pd.DataFrame({"word": list(held.keys()), "n": list(held.values())})
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -107,7 +108,8 @@ def features(docs: DataFrame, vocab: DataFrame, most_words: int = MOST_WORDS) ->
                         seen.update(zip(new, ranks[np.minimum(at, len(ranks) - 1)].tolist()))
                     r = _weighted_rank(np.fromiter((seen[x] for x in main), np.int64, len(main)))
                     out.append((i, main is han, len(main), r, *_shape(t, len(w), sum(map(len, w)))))
-                yield pd.DataFrame(out, columns=["doc_id", "han", "words", "coverage_rank", "x2", "x3", "x4"])
+                if out:
+                    yield pd.DataFrame(out, columns=["doc_id", "han", "words", "coverage_rank", "x2", "x3", "x4"])
 
         f = src.mapInPandas(run, "doc_id long, han boolean, words int, coverage_rank int, x2 double, x3 double, x4 double")
     else:
@@ -122,7 +124,8 @@ def features(docs: DataFrame, vocab: DataFrame, most_words: int = MOST_WORDS) ->
                     if main:
                         s = _shape(t, len(w), sum(map(len, w)))
                         out += [(i, main is han, x, n, *s) for x, n in Counter(main).items()]
-                yield pd.DataFrame(out, columns=["doc_id", "han", "word", "n", "x2", "x3", "x4"])
+                if out:
+                    yield pd.DataFrame(out, columns=["doc_id", "han", "word", "n", "x2", "x3", "x4"])
 
         e = src.mapInPandas(exploded, "doc_id long, han boolean, word string, n int, x2 double, x3 double, x4 double").join(vocab.select("word", "rank"), "word")
         by = W.partitionBy("doc_id").orderBy("rank")

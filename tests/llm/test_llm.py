@@ -152,7 +152,7 @@ def test_plain_tokens():
 
 def test_mixture_keeps_quotas_and_caps(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1500, "big").when(F.col("id") < 1520, "small").when(F.col("id") < 1530, None).otherwise("other").alias("source"), (F.col("id") % 17).alias("tokens"))
-    target = spark.createDataFrame([("m", "big", 0.5, 2, 0.5), ("m", "small", 0.4, 3, 0.5), ("m", "none", 0.1, 3, 0.5)], "mix_name string, source string, target_share double, max_repeats int, budget_factor double")
+    target = spark.createDataFrame([("m", "big", 0.5, 2, 0.5), ("m", "small", 0.4, 3, 0.5), ("m", "none", 0.1, 3, 0.5), ("m", "other", None, 3, 0.5), ("m", None, 0.1, 3, 0.5), ("z", "big", 0.0, 3, 0.5)], "mix_name string, source string, target_share double, max_repeats int, budget_factor double")
     chosen, placed = (x.cache() for x in mixture.mixed(docs, target))
     corpus = docs.agg(F.sum("tokens")).first()[0]
     got = {r.source: (r.t, r.u) for r in chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("t"), F.max("uses").alias("u")).collect()}
@@ -162,6 +162,16 @@ def test_mixture_keeps_quotas_and_caps(spark):
     assert placed.count() == chosen.agg(F.sum("uses")).first()[0] == placed.select("doc_id", "pass").distinct().count()
 
 
+def test_empty_corpora(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, source string, lang string, tokens long")
+    target = spark.createDataFrame([("m", "a", 1.0, 1, 1.0)], "mix_name string, source string, target_share double, max_repeats int, budget_factor double")
+    assert [x.count() for x in mixture.mixed(docs, target)] == [0, 0]
+    assert mixture.token_counts(docs).count() == 0
+    labels = spark.createDataFrame([(1, "a", 3)], "doc_id long, rater string, grade int")
+    assert reading_level.graded(docs, labels).count() == 0
+    assert layout_copies.copies(layout_copies.keyed(request_key(docs.select(F.col("doc_id").alias("id"), "text"), "text", "key"), "task")).count() == 0
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 50), min_size=1, max_size=5), st.integers(1, 9), st.integers(0, 5))
 def test_splitting_tree_is_exact(quotas, shards, seed):
