@@ -88,7 +88,8 @@ def mutants(df: DataFrame, sql: str) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = [(i, k, m) for i, q in zip(b["_id"], b["_q"]) if q for k in sql_text.MUTATIONS if (m := sql_text.mutate(q, k))]
-            yield pd.DataFrame(rows, columns=["_id", "mutation", "mutant"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["_id", "mutation", "mutant"])
 
     d = df.withColumn("_id", F.xxhash64(sql)).select("_id", F.col(sql).alias("_q")).dropDuplicates(["_id"])
     return d.mapInPandas(run, "_id long, mutation string, mutant string").join(d, "_id").select(F.col("_q").alias("statement"), "mutation", "mutant")
