@@ -27,6 +27,7 @@ def efficiency(queries: Column, tokens: Column, irrelevant: Column, duplicate: C
 def banded(eligible: Column, has_final: Column, final_ok: Column, sql_ok: Column, quality: Column) -> Column:
     """Bands that never overlap: both right, answer right, SQL right, wrong; quality orders inside a band."""
     q = clip01(quality)
+    # fixed values: the bands
     score = F.when(final_ok & sql_ok, 0.80 + 0.20 * q).when(final_ok, 0.65 + 0.10 * q).when(sql_ok, 0.40 + 0.10 * q).otherwise(0.10 + 0.20 * q)
     return F.when(eligible & has_final, F.round(score, 6)).otherwise(F.lit(0.0))
 
