@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import table, width
 from .crf import CRF, hashed
 
 #: Answers whose clauses fit the field.
@@ -266,7 +266,8 @@ def judge(trajectories: DataFrame, records: DataFrame, sample_rows: int = SAMPLE
                 yield pd.DataFrame(rows, columns=["trajectory_id", "defect", *TAGS])
 
     schema = "trajectory_id long, defect string, " + ", ".join(f"{t} int" for t in TAGS)
-    return answers(trajectories, records).mapInPandas(run, schema)
+    # tagging is heavy: spread the rows evenly, whatever the join's keys and the small size of its partitions
+    return answers(trajectories, records).repartition(width(trajectories.sparkSession)).mapInPandas(run, schema)
 
 
 def p2_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
