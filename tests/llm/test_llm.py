@@ -210,3 +210,19 @@ def test_coverage_rank_equals_brute_force(spark):
         by_hand[i] = r[int(np.ceil(0.92 * len(r))) - 1]
     for most in (10**6, 1):
         assert {r.doc_id: r.coverage_rank for r in reading_level.features(docs, vocab, most).collect()} == by_hand
+
+
+def _copies(spark, rows):
+    """{id: middle} of (id, text, suspect) by near_copies."""
+    d = spark.createDataFrame([(i, len(t), s, t) for i, t, s in rows], "id long, chars int, suspect boolean, text string")
+    return {r.id: r.middle for r in cut_texts.near_copies(d).collect()}
+
+
+def test_a_cut_text_meets_its_copy_behind_longer_texts(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(70)]
+    text = " ".join(words)
+    rows = [(1, text[:-3], True), (2, text + " and more", False)]
+    for i in range(40):  # longer texts of the same buckets that end in another way
+        rows.append((10 + i, " ".join([*words[:-1], *("".join(rng.choice("mnopqr") for _ in range(12)) for _ in range(3))]), False))
+    assert _copies(spark, rows) == {1: True}
