@@ -226,3 +226,14 @@ def test_a_cut_text_meets_its_copy_behind_longer_texts(spark):
     for i in range(40):  # longer texts of the same buckets that end in another way
         rows.append((10 + i, " ".join([*words[:-1], *("".join(rng.choice("mnopqr") for _ in range(12)) for _ in range(3))]), False))
     assert _copies(spark, rows) == {1: True}
+
+
+def test_the_end_of_a_cut_text_is_aligned_with_its_copy(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(160)]
+    text, edited = " ".join(words), " ".join([*words[:40], "other", *words[41:]])
+    dropped = " ".join(words[:40] + words[41:])
+    copy = text + " and goes on for a while. Then it ends"
+    cuts = {1: edited[:-3], 2: dropped[:-2], 3: text, 4: text.upper(), 5: edited, 6: text + " and goes on for a while.", 7: " ".join([*words[:-1], "elsewhere"])}
+    got = _copies(spark, [(99, copy, False), *((i, t, True) for i, t in cuts.items())])
+    assert {i for i, m in got.items() if m} == {1, 2, 3, 4, 5}
