@@ -37,6 +37,8 @@ SHARED = 3
 LEAST = {True: 20, False: 11}
 #: A passage holds two of the item's numbers whole, or one from this length on: one number may agree by chance.
 LONG = {True: 30, False: 17}
+#: With fewer numbers, a passage of full length (24 ideographs or 12 words) holds so many pairs of ideographs or words that no other item has.
+FULL, OWN = {True: 24, False: 12}, {True: 3, False: 2}
 #: A word or pair of ideographs in more than this share of the items isn't an item's own.
 COMMON = 0.03
 #: Tokens between two matched runs that may be edited or inserted.
@@ -81,14 +83,16 @@ class Phrases:
             if rare:
                 self.by_width[PHRASE[han]] = (np.stack([codes(p) for p in rare]), [of[p] for p in rare])
         parts = Counter(x for t in self.tokens for x in {*t, *map("".join, zip(t, t[1:]))} if not x.isdigit())
+        self.own = {x for x, n in parts.items() if n == 1}
         self.common = {x for x, n in parts.items() if n > max(SHARED, COMMON * len(self.tokens))}
 
 
-def passages(item: list[str], doc: list[str], han: bool, common: set[str]) -> tuple[int, int, int]:
+def passages(item: list[str], doc: list[str], han: bool, common: set[str], own: set[str] | frozenset[str] = frozenset()) -> tuple[int, int, int]:
     """(length, first, last doc token) of the longest chain of equal runs that differ by edits of single words only.
 
     A gap breaks the chain where it loses a digit of the item or puts another word in the place of one that is the
-    item's own (`common` holds the words and pairs of ideographs that many items use).
+    item's own (`common` holds the words and pairs of ideographs that many items use). A passage with too few whole numbers is
+    told by words that no other item has (`own`); a number broken at its edge doesn't count as part of it.
     """
     least = 2 if han else 1
     blocks = [b for b in SequenceMatcher(None, item, doc, autojunk=False).get_matching_blocks() if b.size >= least]
@@ -101,8 +105,16 @@ def passages(item: list[str], doc: list[str], han: bool, common: set[str]) -> tu
         before, after = item[c[0].a - 1 : c[0].a], item[c[-1].a + c[-1].size :][:1]
         runs = [m.span() for m in re.finditer("1+", "".join("1" if x.isdigit() else "0" for x in part))]
         whole = sum(not (a == 0 and before and before[0].isdigit()) and not (z == len(part) and after and after[0].isdigit()) for a, z in runs)
-        if n < LEAST[han] or whole < (1 if n >= LONG[han] else 2):
+        if n < LEAST[han]:
             return 0, 0, 0
+        if whole < (1 if n >= LONG[han] else 2):
+            a = runs[0][1] if runs and runs[0][0] == 0 and before and before[0].isdigit() else 0
+            z = runs[-1][0] if runs and runs[-1][1] == len(part) and after and after[0].isdigit() else len(part)
+            n = sum(1 for j in range(a, z) if not part[j].isdigit() or han or j == a or not part[j - 1].isdigit())
+            same = [item[b.a : b.a + b.size] for b in c]
+            told = {x for r in same for x in (map("".join, zip(r, r[1:])) if han else r)} & own
+            if n < FULL[han] or len(told) < OWN[han]:
+                return 0, 0, 0
         return n, c[0].b, c[-1].b + c[-1].size
 
     def same(p, b) -> bool:
@@ -158,7 +170,7 @@ def search_shard(ids: np.ndarray, texts: list[list[str]], ph: Phrases) -> list[t
         for run in np.split(places, np.flatnonzero(np.diff(places) > size) + 1):
             a = int(np.searchsorted(ends, max(0, run[0] - size), side="right"))
             b = int(np.searchsorted(ends, min(len(solid[d]), run[-1] + size), side="left")) + 1
-            n, x, y = passages(ph.tokens[k], texts[d][a:b], han, ph.common)
+            n, x, y = passages(ph.tokens[k], texts[d][a:b], han, ph.common, ph.own)
             best = max(best, (n, a + x, a + y))
         if best[0]:
             out.append((int(ids[d]), ph.ids[k], best[0], best[1], best[2]))

@@ -237,3 +237,12 @@ def test_the_end_of_a_cut_text_is_aligned_with_its_copy(spark):
     cuts = {1: edited[:-3], 2: dropped[:-2], 3: text, 4: text.upper(), 5: edited, 6: text + " and goes on for a while.", 7: " ".join([*words[:-1], "elsewhere"])}
     got = _copies(spark, [(99, copy, False), *((i, t, True) for i, t in cuts.items())])
     assert {i for i, m in got.items() if m} == {1, 2, 3, 4, 5}
+
+
+def test_a_leak_without_numbers(spark):
+    bare = "The harbour master of Quellmond sealed every lantern crate before the northern ferries came home that evening"
+    plain = "The crew arrived once more at the depot and the clerk booked the crates of the day and the crew arrived"
+    it = pd.concat([_items(), pd.DataFrame({"item_id": [70, 71, 72], "text": [bare, plain, plain + " again"]})])
+    docs = [(1, "We read: " + bare + ". So it was."), (2, "We read: " + plain + "."), (3, " ".join(bare.split()[:11])), (4, bare.replace("lantern", "lantren"))]
+    got = {(r.doc_id, r.item_id) for r in leak.leaks(spark.createDataFrame(docs, "doc_id long, text string"), it).collect()}
+    assert got == {(1, 70), (4, 70)}
