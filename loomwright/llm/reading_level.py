@@ -8,6 +8,7 @@ rank, sentence length and word length and on the share of clause marks; the sums
 aggregates, five by five numbers a script reach the driver.
 
 Defined results: documents without words have a null grade; null grades and labels without their document are ignored;
+of rows of one doc_id the least text counts;
 with fewer than LEAST_LABELS labelled documents a script takes the pooled fit, without any label all grades are null.
 """
 
@@ -83,7 +84,7 @@ def _weighted_rank(ranks: np.ndarray) -> int:
 
 def features(docs: DataFrame, vocab: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
     """(doc_id, han, words, coverage_rank, x1..x4) of documents with words."""
-    src = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    src = docs.select("doc_id", "text").where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
     spark = src.sparkSession
     if small_enough(vocab, most_words):
         v = vocab.select("word", "rank").toPandas()
@@ -131,7 +132,7 @@ def features(docs: DataFrame, vocab: DataFrame, most_words: int = MOST_WORDS) ->
         by = W.partitionBy("doc_id").orderBy("rank")
         e = e.withColumn("cum", F.sum("n").over(by.rangeBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(W.partitionBy("doc_id")))
         f = e.groupBy("doc_id", "han").agg(F.max("all").cast("int").alias("words"), F.min(F.when(F.col("cum") >= F.ceil(F.col("all") * COVER - 1e-9), F.col("rank"))).alias("coverage_rank"), F.first("x2").alias("x2"), F.first("x3").alias("x3"), F.first("x4").alias("x4"))
-    return f.withColumn("x1", F.log("coverage_rank")).dropDuplicates(["doc_id"])
+    return f.withColumn("x1", F.log("coverage_rank"))
 
 
 def rated(labels: DataFrame) -> DataFrame:

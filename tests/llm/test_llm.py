@@ -246,3 +246,11 @@ def test_a_leak_without_numbers(spark):
     docs = [(1, "We read: " + bare + ". So it was."), (2, "We read: " + plain + "."), (3, " ".join(bare.split()[:11])), (4, bare.replace("lantern", "lantren"))]
     got = {(r.doc_id, r.item_id) for r in leak.leaks(spark.createDataFrame(docs, "doc_id long, text string"), it).collect()}
     assert got == {(1, 70), (4, 70)}
+
+
+def test_features_of_repeated_rows_are_the_same_in_both_branches(spark):
+    rows = [(1, "the cat and the dog"), (1, "the cat and the dog"), (2, "zebras run"), (2, "a cat and the dog sat"), (3, "仓库里的仓")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    vocab = reading_level.vocabulary(docs)
+    small, large = ({r.doc_id: (r.words, r.coverage_rank, r.x2, r.x3, r.x4) for r in reading_level.features(docs, vocab, most).collect()} for most in (10**6, 1))
+    assert small == large and {i: x[0] for i, x in small.items()} == {1: 5, 2: 6, 3: 5}
