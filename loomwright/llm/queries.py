@@ -8,6 +8,7 @@ from . import answer_defects, cross_split, cut_texts, layout_copies, leak, mixtu
 def queries() -> dict:
     return {
         "p1_found": cross_split.p1_found,
+        "p1_classes": cross_split.p1_classes,
         "p1_report": cross_split.p1_report,
         "p2_found": answer_defects.p2_found,
         "p2_clauses": answer_defects.p2_clauses,

@@ -11,6 +11,7 @@ from loomwright.llm.crf import CRF, hashed
 from loomwright.llm.fm_index import FMIndex
 from loomwright.llm.layout import request_key, statement_key
 from loomwright.llm.plain import codes, tokens
+from loomwright.llm.request import Values
 
 
 @settings(max_examples=40, deadline=None)
@@ -71,18 +72,49 @@ def test_copies_with_and_without_hot_keys(spark):
 BASE = "Please find the total weight. Scope: wave BC004-182-928, June 2024, locker, withdrawn, single weight at least 18 kg. The briefing still lacks one line."
 
 
+def _asks(spark, asks):
+    """Records of the asks and of others with statements, from which values are learnt; (overlaps, report, classes)."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        service, bound, metric, month = rng.choice(["locker", "bulky", "rush"]), rng.choice([("at least", ">="), ("no less than", ">="), ("below", "<"), ("under", "<")]), rng.choice([("total weight", "SUM(weight_kg)"), ("summed weight", "SUM(weight_kg)"), ("shipment count", "COUNT(*)")]), rng.choice(["June", "July"])
+        q = f"Please find the {metric[0]}. Scope: wave BC{rng.randrange(100, 999)}-{rng.randrange(100, 999)}-{rng.randrange(100, 999)}, {month} 2024, {service}, withdrawn, single weight {bound[0]} {rng.choice([18, 25, 40])} kg. {rng.choice(['The briefing still lacks one line.', 'Keep two decimals.', ''])}"
+        sql = f"SELECT {metric[1]} AS value FROM s WHERE s.day >= '2024-{month}' AND s.service = '{service}' AND s.weight_kg {bound[1]} 18"
+        rows.append((1000 + i, [("user", q)], ("tr",), ((sql,),), 1))
+    rows += [(i, [("user", t)] if t is not None else None, (s,), ((None,),), 1) for i, (s, t) in asks.items()]
+    rec = spark.createDataFrame(rows, "record_id long, prompt array<struct<role string, content string>>, extra_info struct<source_label string>, reward_model struct<ground_truth struct<verification_sql string>>, split int")
+    src = spark.createDataFrame([("tr", "train"), ("va", "val"), ("te", "test"), (None, "train")], "label string, split string")
+    q = cross_split.questions(rec, src).cache()
+    pairs = cross_split.class_pairs(q, cross_split.learnt(rec)).cache()
+    return {(r.train_id, r.eval_id) for r in cross_split.overlaps(q, pairs).collect()}, cross_split.report(q, pairs).collect(), q
+
+
 def test_cross_split(spark):
     asks = {
         1: ("tr", BASE), 2: ("va", "Workspace: x.\n\nTask: " + BASE.upper()), 3: ("va", BASE.replace("at least", "no less than").replace("briefing", "breifing")), 4: ("te", BASE.replace("18 kg", "1.8 kg")), 5: ("te", BASE.replace("locker", "bulky")),
         6: ("te", BASE.replace("total weight", "shipment count")), 7: ("tr", BASE.replace("The briefing still lacks one line.", "Keep two decimals.")), 8: ("va", ""), 9: ("zz", BASE), 10: ("va", None), 11: ("te", BASE.replace("at least", "below")),
+        12: ("te", "Workspace: " + "long notice " * 100 + ".\nTask: " + BASE + " The briefing mentions 3 lines."), 13: ("te", BASE.replace("June", "July")), 14: ("va", "x " * 60_000),
+    }
+    got, report, q = _asks(spark, asks)
+    assert got == {(a, e) for a in (1, 7) for e in (2, 3, 12)}
+    assert {(r.eval_split, r.pairs, r.eval_records, r.train_records) for r in report} == {("val", 4, 2, 2), ("test", 2, 1, 2)}
+    assert cross_split.class_pairs(q.limit(0), Values([])).count() == 0
+
+
+def test_cross_split_beyond_the_vocabulary(spark):
+    ask = "What is the {} of the country with the longest coastline in the southern half of the world?"
+    asks = {
+        1: ("tr", ask.format("capital city")), 2: ("te", ask.format("tallest mountain")), 3: ("te", ask.format("capitol city")), 4: ("va", ask.format("capital city") + " Kindly answer within one short line."), 5: ("va", ask.format("capital city").replace("southern", "northern")),
+        6: ("tr", "城市里最老的桥是哪一年修的，请说明出处"), 7: ("te", "城市里最老的桥是哪一年修的。请说明出处！"), 8: ("te", "城市里最新的桥是哪一年修的，请说明出处"),
     }
-    rows = [(i, [("user", t)] if t is not None else None, (s,), 1) for i, (s, t) in asks.items()]
-    rec = spark.createDataFrame(rows, "record_id long, prompt array<struct<role string, content string>>, extra_info struct<source_label string>, split int")
-    src = spark.createDataFrame([("tr", "train"), ("va", "val"), ("te", "test")], "label string, split string")
-    q = cross_split.questions(rec, src)
-    got = {(r.train_id, r.eval_id) for r in cross_split.overlaps(q).collect()}
-    assert got == {(1, 2), (1, 3), (7, 2), (7, 3)}
-    assert cross_split.overlaps(q.limit(0)).count() == 0
+    assert _asks(spark, asks)[0] == {(1, 3), (1, 4), (6, 7)}
+
+
+def test_cross_split_of_a_split_bucket(spark, monkeypatch):
+    asks = {i: ("tr" if i % 2 else "te", BASE + " Line" + " one" * (i % 5) + "." * i) for i in range(1, 13)}
+    whole = _asks(spark, asks)[0]
+    monkeypatch.setattr(cross_split, "BUCKET_ROWS", 2)
+    assert _asks(spark, asks)[0] == whole and len(whole) == 36
 
 
 def test_crf_learns_a_sequence_rule():
