@@ -1,13 +1,18 @@
 """Problem 6: passages of held-out items inside a corpus, by an FM-index of each corpus shard.
 
-Each task takes its documents in shards of bounded text, indexes a shard's plain text and searches the items' phrases in
-it (backward search through wavelet-tree ranks); occurrences are located by sampled suffix positions, gathered by
-document and item, and verified by aligning the item's tokens with the document's around them. The corpus is never
-shuffled; the phrases are sent to the executors with the task and their total size is checked.
+Each task takes its documents in shards of bounded size and indexes a shard's words (Latin words, digits, single
+ideographs; words that no item has can't be part of a match and only part the text). Every phrase of every item is searched
+backward through wavelet-tree ranks, its occurrences are located by sampled suffix positions, occurrences on one diagonal
+are merged into maximal runs, and runs into passages where only edits of single words lie between them. All passages of a
+document are kept, with their place in its own text. The corpus is never shuffled but for spreading few files; the items
+are sent to the executors once, as a broadcast whose size is checked first, and beyond it are searched in parts.
+
+A passage must be a quotation of its item, not the language that such items share: its words in common have to be
+surprising under a model of the other items' words. Numbers are only a test of mismatch; a passage need hold none.
 
 Defined results: null, blank or layout-only documents and items give nothing; repeated documents are each reported; an
-item's standard opening (shared by several items) isn't searched; documents of any length are searched whole, those
-longer than a shard in overlapping pieces.
+item's standard opening (shared by several items) isn't searched; a passage that several items share is reported for each;
+documents of any length are searched whole, those longer than a shard in overlapping pieces.
 """
 
 from __future__ import annotations
@@ -20,29 +25,29 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from ..session import table
 from .fm_index import FMIndex
-from .plain import codes, plain, tokens
-
-#: Characters of plain text in one shard's index; its arrays take about 60 bytes each while it is built.
-SHARD_CHARS = 1_500_000
-#: Characters of all items together that may be sent to every executor.
-MOST_ITEM_CHARS = 50_000_000
-#: Length of the searched phrases, in characters, for ideographic and for alphabetic items.
-PHRASE = {True: 7, False: 16}
-#: A phrase shared by more items than this is the language of such items, not a passage of one of them.
-SHARED = 3
-#: Least length of a reported passage: ideographs (and digits) or words, edited ones included.
+from .plain import plain, tokens
+
+#: Characters of text in one shard's index; its arrays take about 60 bytes a word while it is built.
+SHARD_CHARS = 4_000_000
+#: Characters of items that are searched at once; more items are searched in parts, each over the whole corpus.
+ITEM_CHARS = 20_000_000
+#: Length of the searched phrases in words (single ideographs and digits), for ideographic and for alphabetic items.
+PHRASE = {True: 6, False: 4}
+#: Least length of a reported passage: 24 ideographs or 12 words, less one edited word (four ideographs) at an edge.
 LEAST = {True: 20, False: 11}
-#: A passage holds two of the item's numbers whole, or one from this length on: one number may agree by chance.
-LONG = {True: 30, False: 17}
-#: With fewer numbers, a passage of full length (24 ideographs or 12 words) holds so many pairs of ideographs or words that no other item has.
-FULL, OWN = {True: 24, False: 12}, {True: 3, False: 2}
-#: A word or pair of ideographs in more than this share of the items isn't an item's own.
+#: A word in more than this share of the items, and in more than three, is their common language.
 COMMON = 0.03
-#: Tokens between two matched runs that may be edited or inserted.
-GAP = {True: 4, False: 3}
+#: A passage's words in common must be so unlikely in the language of all other items: at most 1 / items to this power.
+CHANCE = 3.0
+#: Items that the share of all items with a word counts for, beside those that have the words before it.
+BACK_OFF = 5.0
+#: Words between two matched runs that may be edited, and further ones that may be inserted (a page break, say).
+GAP, INSERTED = {True: 6, False: 4}, 10
 
 
 def _ideographic(text: str) -> bool:
@@ -61,169 +66,319 @@ def without_preamble(items: pd.DataFrame, least: int = 5) -> pd.DataFrame:
 
 
 class Phrases:
-    """Item tokens and their distinct phrases with the (item, offset) places of each; common phrases are left out."""
+    """Item words as numbers, and the distinct phrases with the (item, offset) places of each."""
 
     def __init__(self, items: pd.DataFrame):
-        self.tokens, self.ids, self.han = [], [], []
-        places: dict[bool, dict[str, list]] = {True: defaultdict(list), False: defaultdict(list)}
-        self.solid = []
+        self.ids, self.tokens, self.han = [], [], []
         for item, text in zip(items.item_id, items.text):
             t = tokens(text)
-            if not t:
-                continue
-            k, s = len(self.ids), "".join(t)
-            han = _ideographic(s)
-            self.ids.append(int(item)), self.tokens.append(t), self.han.append(han), self.solid.append(s)
-            w = PHRASE[han]
-            for j in range(max(0, len(s) - w + 1)):
-                places[han][s[j : j + w]].append((k, j))
-        self.by_width = {}
-        for han, of in places.items():
-            rare = [p for p, at in of.items() if len({k for k, _ in at}) <= SHARED]
-            if rare:
-                self.by_width[PHRASE[han]] = (np.stack([codes(p) for p in rare]), [of[p] for p in rare])
+            if t:
+                self.ids.append(int(item)), self.tokens.append(t), self.han.append(_ideographic("".join(t)))
+        self.code = {w: i for i, w in enumerate(sorted({w for t in self.tokens for w in t}))}
+        self.by_width = []  # (patterns, start of each pattern's places, item, offset)
+        for han, width in PHRASE.items():
+            rows, item, offset = [], [], []
+            for k, t in enumerate(self.tokens):
+                c = np.array([self.code[w] for w in t], np.int64)
+                if self.han[k] == han and len(c) >= width:
+                    rows.append(np.lib.stride_tricks.sliding_window_view(c, width))
+                    item.append(np.full(len(rows[-1]), k)), offset.append(np.arange(len(rows[-1])))
+            if rows:
+                one, back = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+                order = np.argsort(back.ravel(), kind="stable")
+                start = np.concatenate(([0], np.cumsum(np.bincount(back.ravel()))))
+                self.by_width.append((one, start, np.concatenate(item)[order], np.concatenate(offset)[order]))
         parts = Counter(x for t in self.tokens for x in {*t, *map("".join, zip(t, t[1:]))} if not x.isdigit())
-        self.own = {x for x, n in parts.items() if n == 1}
-        self.common = {x for x, n in parts.items() if n > max(SHARED, COMMON * len(self.tokens))}
+        self.common = {x for x, n in parts.items() if n > max(3, COMMON * len(self.tokens))}
+        #: (weight, first, end word) of what each item's words tell, and the weight that a passage must have
+        one = {"\0".join(t): (t, h) for t, h in zip(self.tokens, self.han)}  # items of one text count once
+        weights = dict(zip(one, _weights([t for t, _ in one.values()], [h for _, h in one.values()])))
+        self.weights = [weights["\0".join(t)] for t in self.tokens]
+        self.least_weight = CHANCE * float(np.log(max(len(one), 1)))
+        size = np.array([len(t) + 1 for t in self.tokens], np.int64)
+        self.begin, self.sums = np.cumsum(size) - size, np.zeros(int(size.sum()))
+        for b, n, of in zip(self.begin.tolist(), size.tolist(), self.weights):
+            for w, _, z in of:
+                self.sums[b + z] += w
+            self.sums[b : b + n] = np.cumsum(self.sums[b : b + n])
+
+
+def _units(words: list[str]) -> list[tuple[str, int, int]]:
+    """(unit, first, end): whole numbers and single words."""
+    out, a = [], 0
+    while a < len(words):
+        z = a + 1
+        while words[a].isdigit() and z < len(words) and words[z].isdigit():
+            z += 1
+        out.append(("".join(words[a:z]), a, z))
+        a = z
+    return out
+
+
+def _weights(texts: list[list[str]], han: list[bool]) -> list[list[tuple[float, int, int]]]:
+    """How surprising each unit of an item is after the one before it (two before it among ideographs) in all other items.
+
+    A word that other items go on with alike weighs nothing, one that none of them has there as much as one item in all.
+    """
+    n = len(texts)
+    units = [_units(t) for t in texts]
+    seen: Counter = Counter()
+    keys = []
+    for of, h in zip(units, han):
+        back = 2 if h else 1
+        k = [(tuple(x for x, _, _ in of[max(0, i - back) : i]), u) for i, (u, _, _) in enumerate(of)]
+        keys.append(k)
+        seen.update({*k, *(c for c, _ in k), *(u for _, u in k)})  # items, not occurrences
+    out = []
+    for of, k in zip(units, keys):
+        row = []
+        for (u, a, z), (c, _) in zip(of, k):
+            both, before, alone = seen[c, u] - 1, seen[c] - 1, seen[u] - 1
+            p = (both + BACK_OFF * alone / n) / (before + BACK_OFF)
+            row.append((float(-np.log(min(1.0, max(p, 1 / n)))), a, z))
+        out.append(row)
+    return out
 
 
-def passages(item: list[str], doc: list[str], han: bool, common: set[str], own: set[str] | frozenset[str] = frozenset()) -> tuple[int, int, int]:
-    """(length, first, last doc token) of the longest chain of equal runs that differ by edits of single words only.
+def _edited(lost: list[str], new: list[str], before: str, after: str, han: bool, common: set[str]) -> bool:
+    """Whether a document's words `new` in the place of an item's words `lost` are an edit that keeps the passage.
 
-    A gap breaks the chain where it loses a digit of the item or puts another word in the place of one that is the
-    item's own (`common` holds the words and pairs of ideographs that many items use). A passage with too few whole numbers is
-    told by words that no other item has (`own`); a number broken at its edge doesn't count as part of it.
+    No digit of the item may be lost, nor may digits come beside one; a word that is the item's own (in few items) may only
+    be misspelt, one of the common language may be any other word.
     """
-    least = 2 if han else 1
-    blocks = [b for b in SequenceMatcher(None, item, doc, autojunk=False).get_matching_blocks() if b.size >= least]
-    best = (0, 0, 0)
-    chain: list = []
-
-    def weigh(c: list) -> tuple[int, int, int]:
-        part = item[c[0].a : c[-1].a + c[-1].size]
-        n = sum(1 for j, x in enumerate(part) if not x.isdigit() or han or j == 0 or not part[j - 1].isdigit())
-        before, after = item[c[0].a - 1 : c[0].a], item[c[-1].a + c[-1].size :][:1]
-        runs = [m.span() for m in re.finditer("1+", "".join("1" if x.isdigit() else "0" for x in part))]
-        whole = sum(not (a == 0 and before and before[0].isdigit()) and not (z == len(part) and after and after[0].isdigit()) for a, z in runs)
-        if n < LEAST[han]:
-            return 0, 0, 0
-        if whole < (1 if n >= LONG[han] else 2):
-            a = runs[0][1] if runs and runs[0][0] == 0 and before and before[0].isdigit() else 0
-            z = runs[-1][0] if runs and runs[-1][1] == len(part) and after and after[0].isdigit() else len(part)
-            n = sum(1 for j in range(a, z) if not part[j].isdigit() or han or j == a or not part[j - 1].isdigit())
-            same = [item[b.a : b.a + b.size] for b in c]
-            told = {x for r in same for x in (map("".join, zip(r, r[1:])) if han else r)} & own
-            if n < FULL[han] or len(told) < OWN[han]:
-                return 0, 0, 0
-        return n, c[0].b, c[-1].b + c[-1].size
-
-    def same(p, b) -> bool:
-        lost, new = item[p.a + p.size : b.a], doc[p.b + p.size : b.b]
-        if len(lost) > GAP[han] or len(new) > GAP[han] + 8 or any(x.isdigit() for x in lost):
-            return False
-        # digits beside an item's digits make another number; those of a page break come with other text
-        if new and all(x.isdigit() for x in new) and (item[b.a - 1].isdigit() or item[b.a].isdigit()):
-            return False
-        if not lost or not new:
+    if len(lost) > GAP[han] or len(new) > GAP[han] + INSERTED or any(x.isdigit() for x in lost):
+        return False
+    if new and all(x.isdigit() for x in new) and (before.isdigit() or after.isdigit()):
+        return False
+    if not lost or not new:
+        return True
+    if han:
+        if len(lost) == 1:
             return True
-        if han:
-            pairs = {x + y for x, y in zip(item[max(0, p.a + p.size - 1) : b.a], lost + item[b.a : b.a + 1])} if len(lost) == 1 else {x + y for x, y in zip(lost, lost[1:])}
-            return len(lost) == 1 or pairs <= common or len(new) < len(lost)
-        return all(x in common or max(SequenceMatcher(None, x, y).ratio() for y in [*new, "".join(new)]) >= 0.55 for x in lost)
-
-    for b in blocks:
-        if chain and not same(chain[-1], b):
-            best, chain = max(best, weigh(chain)), []
-        chain.append(b)
-    return max(best, weigh(chain)) if chain else best
-
-
-def search_shard(ids: np.ndarray, texts: list[list[str]], ph: Phrases) -> list[tuple]:
-    """(doc, item, words, first, last token) of the passages in one shard of tokenised documents."""
-    solid = ["".join(t) for t in texts]
-    index = FMIndex([codes(s) for s in solid])
-    hits: dict[tuple[int, int], list] = defaultdict(list)
-    for _, (phrases, places) in ph.by_width.items():
-        own = index.encode(phrases.ravel()).reshape(phrases.shape)
-        lo, hi = index.search(own)
-        got = np.flatnonzero(hi > lo)
-        if not len(got):
+        return len(new) < len(lost) or all(x + y in common for x, y in zip(lost, lost[1:])) or SequenceMatcher(None, lost, new, autojunk=False).ratio() >= 0.5
+    return all(x in common or max(SequenceMatcher(None, x, y).ratio() for y in [*new, "".join(new)]) >= 0.55 for x in lost)
+
+
+def _length(part: list[str], before: str, after: str, han: bool) -> int:
+    """Words or ideographs of a passage; a number counts once among words, and not at all if cut by the passage's edge."""
+    a, z = 0, len(part)
+    if before.isdigit():
+        while a < z and part[a].isdigit():
+            a += 1
+    if after.isdigit():
+        while z > a and part[z - 1].isdigit():
+            z -= 1
+    return z - a if han else sum(1 for j in range(a, z) if not part[j].isdigit() or j == a or not part[j - 1].isdigit())
+
+
+def chained(runs: list[tuple[int, int, int]], item: list[str], doc: list[str], han: bool, common: set[str], weights: list[tuple[float, int, int]], least_weight: float) -> list[tuple[int, int, int]]:
+    """(length, first, end) of the passages in words of doc, from maximal runs (doc offset, item offset, length)."""
+    chains: list[list] = []  # [doc start, item start, doc end, item end, *matched parts of the item]
+    for o, j, n in sorted(runs):
+        best = None
+        for c in chains:
+            skip = max(0, c[2] - o, c[3] - j)  # runs of two diagonals may overlap
+            gap, lost = o + skip - c[2], j + skip - c[3]
+            if skip >= n or min(gap, lost) < 0:
+                continue
+            if gap <= GAP[han] + INSERTED and lost <= GAP[han] and _edited(item[c[3] : j + skip], doc[c[2] : o + skip], item[c[3] - 1], item[j + skip], han, common):
+                best = min(best or (gap + lost, c), (gap + lost, c), key=lambda x: x[0])
+        if best:
+            best[1][2:4] = [o + n, j + n]
+            best[1].append((j, j + n))
+        else:
+            chains.append([o, j, o + n, j + n, (j, j + n)])
+    out = []
+    for o, j, p, q, *parts in chains:
+        n = _length(item[j:q], item[j - 1] if j else "", item[q] if q < len(item) else "", han)
+        n += _edges(item, doc, j, q, o, p, han)
+        if n >= LEAST[han] and sum(w for w, a, z in weights if any(a >= x and z <= y for x, y in parts)) >= least_weight:
+            out.append((n, o, p))
+    return out
+
+
+def _edges(item: list[str], doc: list[str], j: int, q: int, o: int, p: int, han: bool) -> int:
+    """Further words at both ends of a passage, too few for a phrase, behind a single edited word."""
+    n = 0
+    for step, at, to in ((-1, j - 1, o - 1), (1, q, p)):
+        if 0 <= at < len(item) and item[at].isdigit():
             continue
+        for shift in (1, 0, 2):  # the word was replaced, added or parted
+            a, b, k = at + step, to + step * shift, 0
+            while 0 <= a < len(item) and 0 <= b < len(doc) and item[a] == doc[b] and not item[a].isdigit():
+                a, b, k = a + step, b + step, k + 1
+            if k >= (2 if han else 1):
+                n += k + 1
+                break
+    return n
+
+
+def search_shard(texts: list[list[str]], ph: Phrases) -> list[tuple[int, int, int, int, int]]:
+    """(doc, item, length, first, end word) of all passages in one shard of documents as words; doc and item are places."""
+    get = ph.code.get
+    sizes = np.array([len(t) for t in texts], np.int64)
+    flat = np.array([get(w, -1) for t in texts for w in t], np.int64)
+    base = np.cumsum(sizes) - sizes
+    # parts of known words, none over a document's border
+    known = flat >= 0
+    edge = np.zeros(len(flat) + 1, bool)
+    edge[base], edge[-1] = True, True
+    begin = np.flatnonzero(known & (edge[:-1] | ~np.append(False, known[:-1])))
+    end = np.flatnonzero(known & (edge[1:] | ~np.append(known[1:], False))) + 1
+    keep = end - begin >= min(PHRASE.values())
+    begin, end = begin[keep], end[keep]
+    if not len(begin):
+        return []
+    index = FMIndex([flat[a:b] for a, b in zip(begin.tolist(), end.tolist())], 8)
+    hits: list[tuple[np.ndarray, ...]] = []
+    for phrases, start, item, offset in ph.by_width:
+        lo, hi = index.search(index.encode(phrases.ravel()).reshape(phrases.shape))
+        got = np.flatnonzero(hi > lo)
         count = hi[got] - lo[got]
-        which = np.repeat(got, count)
-        rows = np.repeat(lo[got], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        doc, off = index.text_of(index.locate(rows))
-        for p, d, o in zip(which.tolist(), doc.tolist(), off.tolist()):
-            for k, j in places[p]:
-                hits[d, k].append((o, j))
+        rows = np.repeat(lo[got], count) + _within(count)
+        part, off = index.text_of(index.locate(rows))
+        at = begin[part] + off
+        places = (start[1:] - start[:-1])[got]
+        each = np.repeat(places, count)
+        at = np.repeat(at, each)
+        which = np.repeat(np.repeat(start[got], count), each) + _within(each)
+        hits.append((at, item[which], offset[which], np.full(len(at), phrases.shape[1])))
+    at, item, off, width = (np.concatenate(x) for x in zip(*hits))
+    if not len(at):
+        return []
+    doc = np.searchsorted(base, at, side="right") - 1
+    # documents may be empty, so several may begin at one place; the last of them holds the word
+    order = np.lexsort((at, at - off, item, doc))
+    at, item, off, width, doc = at[order], item[order], off[order], width[order], doc[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] - off[1:] != at[:-1] - off[:-1]) | (at[1:] != at[:-1] + 1)
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(at)) - 1
+    length = at[tail] - at[head] + width[head]
+    d, k, o, j = doc[head], item[head], at[head] - base[doc[head]], off[head]
+    pair = np.ones(len(head), bool)
+    pair[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
+    first = np.flatnonzero(pair)
+    place = ph.begin[k] + j
+    held = np.add.reduceat(ph.sums[place + length] - ph.sums[place], first)  # no less than any passage's weight
     out = []
-    for (d, k), at in hits.items():
-        han = ph.han[k]
-        width = PHRASE[han]
-        covered = len({j + x for _, j in at for x in range(width)})
-        if covered < width + (3 if han else 8):
+    for a, b, n in zip(first.tolist(), np.append(first[1:], len(head)).tolist(), held.tolist()):
+        if n < ph.least_weight:
             continue
-        ends = np.cumsum([len(x) for x in texts[d]])
-        size = len(ph.solid[k])
-        places = np.unique([o for o, _ in at])
-        best = (0, 0, 0)
-        for run in np.split(places, np.flatnonzero(np.diff(places) > size) + 1):
-            a = int(np.searchsorted(ends, max(0, run[0] - size), side="right"))
-            b = int(np.searchsorted(ends, min(len(solid[d]), run[-1] + size), side="left")) + 1
-            n, x, y = passages(ph.tokens[k], texts[d][a:b], han, ph.common, ph.own)
-            best = max(best, (n, a + x, a + y))
-        if best[0]:
-            out.append((int(ids[d]), ph.ids[k], best[0], best[1], best[2]))
+        kk, han = int(k[a]), ph.han[int(k[a])]
+        runs = list(zip(o[a:b].tolist(), j[a:b].tolist(), length[a:b].tolist()))
+        out += [(int(d[a]), kk, *c) for c in chained(runs, ph.tokens[kk], texts[d[a]], han, ph.common, ph.weights[kk], ph.least_weight)]
     return out
 
 
-def _pieces(text: str, overlap: int) -> Iterator[str]:
+def _within(count: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of consecutive groups of these sizes."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _place(text: str, nth: int) -> int:
+    """The least number of leading characters of text that hold nth words."""
+    lo, hi = 0, len(text)
+    while lo < hi:
+        m = (lo + hi) // 2
+        if len(tokens(text[:m])) >= nth:
+            hi = m
+        else:
+            lo = m + 1
+    return lo
+
+
+def _pieces(text: str, overlap: int) -> Iterator[tuple[int, str]]:
+    """(offset, piece): the text, or overlapping pieces of a text that is longer than a shard."""
     step = max(SHARD_CHARS - overlap, SHARD_CHARS // 2)
-    yield from (text[a : a + step + overlap] for a in range(0, max(len(text) - overlap, 1), step)) if len(text) > SHARD_CHARS else (text,)
+    if len(text) <= SHARD_CHARS:
+        yield 0, text
+    else:
+        yield from ((a, text[a : a + step + overlap]) for a in range(0, max(len(text) - overlap, 1), step))
+
 
+_FOUND = "doc_id long, item_id long, words int, start long, end long"
 
-def leaks(docs: DataFrame, items: pd.DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, item_id, words, first_token, last_token): each document and item that share a passage, its longest one."""
-    if int(items.text.str.len().sum()) > MOST_ITEM_CHARS:
-        raise ValueError(f"the items hold more than {MOST_ITEM_CHARS} characters; search them in parts")
+
+def leaks(docs: DataFrame, items: pd.DataFrame, doc_id: str = "doc_id", text: str = "text", places: bool = True) -> DataFrame:
+    """(doc_id, item_id, words, start, end): every passage, with its characters [start, end) in the document's text.
+
+    Without `places` start and end are null, which saves their search.
+    """
     held = without_preamble(items)
     overlap = 3 * int(held.text.str.len().max() or 0) + 100 if len(held) else 100
+    spark = docs.sparkSession
+    phrases = spark.sparkContext.broadcast(Phrases(held))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ph = Phrases(held)
-        ids, texts, size = [], [], 0
+        ph = phrases.value
+        ids, texts, at, size = [], [], [], 0
 
         def flush() -> Iterator[pd.DataFrame]:
-            found = search_shard(np.array(ids, np.int64), texts, ph) if texts and ph.ids else []
+            found = []
+            for d, k, n, a, z in search_shard(texts, ph) if texts and ph.by_width else []:
+                base, piece = at[d]
+                found.append((ids[d], ph.ids[k], n, base + _place(piece, a + 1) - 1, base + _place(piece, z)) if places else (ids[d], ph.ids[k], n, None, None))
             if found:
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "words", "first_token", "last_token"])
+                yield pd.DataFrame(found, columns=["doc_id", "item_id", "words", "start", "end"]).astype({"start": "Int64", "end": "Int64"})
 
         for b in batches:
             for i, t in zip(b["doc_id"], b["text"]):
-                for piece in _pieces(t, overlap):
+                for base, piece in _pieces(t, overlap):
                     toks = tokens(piece)
                     if len(toks) >= min(LEAST.values()):
-                        ids.append(i), texts.append(toks)
+                        ids.append(i), texts.append(toks), at.append((base, piece if places else ""))
                         size += len(piece)
                     if size >= SHARD_CHARS:
                         yield from flush()
-                        ids, texts, size = [], [], 0
+                        ids, texts, at, size = [], [], [], 0
         yield from flush()
 
     src = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text")).where("text is not null and doc_id is not null")
-    least = src.sparkSession.sparkContext.defaultParallelism
+    least = spark.sparkContext.defaultParallelism
     if src.rdd.getNumPartitions() < least:  # few large files: spread them over the cores
         src = src.repartition(least)
-    found = src.mapInPandas(run, "doc_id long, item_id long, words int, first_token int, last_token int")
-    return found
+    return src.mapInPandas(run, _FOUND)
+
+
+def _item_parts(items: DataFrame, most: int = ITEM_CHARS) -> Iterator[pd.DataFrame]:
+    """The items in parts of at most `most` characters (or one item), each fetched when it is searched."""
+    sized = items.where("item_id is not null and text is not null").select("item_id", "text")
+    total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = int(total // most) + 1
+    for k in range(parts):
+        yield (sized if parts == 1 else sized.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)).toPandas()
+
+
+def found(docs: DataFrame, items: DataFrame, places: bool = True, most: int = ITEM_CHARS) -> DataFrame:
+    """leaks of all items, in as many passes as their size asks for; items that open alike must be in one table."""
+    out = None
+    for part in _item_parts(items, most):
+        one = leaks(docs, part, places=places)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """(doc_id, item_id, start, end, words): overlapping and touching passages of a document and item merged."""
+    by = W.partitionBy("doc_id", "item_id").orderBy("start", "end")
+    s = spans.withColumn("_new", (F.col("start") > F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))).cast("int"))
+    s = s.withColumn("_part", F.sum(F.coalesce("_new", F.lit(0))).over(by.rowsBetween(W.unboundedPreceding, 0)))
+    return s.groupBy("doc_id", "item_id", "_part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("words").alias("words")).drop("_part")
 
 
 def p6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest passage of each leaking document and item, merged over pieces and repeated rows."""
-    items = table(spark, sf_dir, "heldout_item").select("item_id", "text").toPandas()  # fixed, its size is checked in leaks
-    return leaks(table(spark, sf_dir, "documents"), items).groupBy("doc_id", "item_id").agg({"words": "max"}).withColumnRenamed("max(words)", "words")
+    """The removal spans of each leaking document and item: characters [start, end) of its text, and the passage's words."""
+    return merged_spans(found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_item")))
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item that leaked, with its suite and split, the documents that hold a passage of it, and the longest one."""
+    items = table(spark, sf_dir, "heldout_item")
+    n = found(table(spark, sf_dir, "documents"), items, places=False).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("words").alias("longest"))
+    return n.join(items.select("item_id", "suite", "split").dropDuplicates(["item_id"]), "item_id")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with a passage of an item, beside the item."""
-    return p6_spans(spark, sf_dir).select("doc_id", "item_id")
+    return found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_item"), places=False).select("doc_id", "item_id").distinct()

@@ -17,6 +17,7 @@ def queries() -> dict:
         "p4_found": layout_copies.p4_found,
         "p4_counts": layout_copies.p4_counts,
         "p6_found": leak.p6_found,
+        "p6_items": leak.p6_items,
         "p6_spans": leak.p6_spans,
         "p7_chosen": mixture.p7_chosen,
         "p7_shares": mixture.p7_shares,

@@ -273,11 +273,46 @@ def test_the_end_of_a_cut_text_is_aligned_with_its_copy(spark):
 
 def test_a_leak_without_numbers(spark):
     bare = "The harbour master of Quellmond sealed every lantern crate before the northern ferries came home that evening"
-    plain = "The crew arrived once more at the depot and the clerk booked the crates of the day and the crew arrived"
-    it = pd.concat([_items(), pd.DataFrame({"item_id": [70, 71, 72], "text": [bare, plain, plain + " again"]})])
-    docs = [(1, "We read: " + bare + ". So it was."), (2, "We read: " + plain + "."), (3, " ".join(bare.split()[:11])), (4, bare.replace("lantern", "lantren"))]
+    shared = "A weaver from the hills bartered seven bolts of undyed linen for one barrel of salted plums at dusk"
+    it = pd.concat([_items(), pd.DataFrame({"item_id": [70, 71, 72, 73], "text": [bare, shared, shared + " again", bare]})])
+    docs = [(1, "We read: " + bare + ". So it was."), (2, "We read: " + shared + "."), (3, " ".join(bare.split()[:10])), (4, bare.replace("lantern", "lantren"))]
     got = {(r.doc_id, r.item_id) for r in leak.leaks(spark.createDataFrame(docs, "doc_id long, text string"), it).collect()}
-    assert got == {(1, 70), (4, 70)}
+    assert got == {(1, 70), (1, 73), (4, 70), (4, 73), (2, 71), (2, 72)}
+
+
+def test_other_numbers_and_names_are_no_leak(spark):
+    it = _items()
+    other = it.text.tolist()[7].replace("This exercise is sealed. ", "")
+    other = " ".join(w if not w.isdigit() else str(int(w) + 1) for w in other.split())
+    assert leak.leaks(spark.createDataFrame([(1, other)], "doc_id long, text string"), it).count() == 0
+
+
+def test_removal_spans_are_places_of_the_document(spark, monkeypatch):
+    it = _items()
+    q = it.text.tolist()[7].split(". ")[1]
+    text = f"Caf\\u00e9 first. {q}. Then {'filler ' * 40}and again: <b>{q.replace(' ', '  ')}</b>"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "x " * 3000 + q + " y" * 3000)], "doc_id long, text string")
+    items = spark.createDataFrame(it)
+
+    def spans():
+        return sorted((r.doc_id, r.start, r.end) for r in leak.merged_spans(leak.found(docs, items)).where("item_id = 7").collect())
+
+    whole = spans()
+    texts = {1: text, 2: "x " * 3000 + q + " y" * 3000}
+    assert [i for i, _, _ in whole] == [1, 1, 2]
+    for i, a, z in whole:
+        assert " ".join(texts[i][a:z].split()) == q[: len(" ".join(texts[i][a:z].split()))] and z - a > len(q) - 12
+    monkeypatch.setattr(leak, "SHARD_CHARS", 4_000)  # in overlapping pieces
+    assert spans() == whole
+
+
+def test_items_in_parts_give_the_same(spark):
+    it = _items()
+    docs = spark.createDataFrame([(i, "Before. " + t + " After.") for i, t in enumerate(it.text)], "doc_id long, text string")
+    items = spark.createDataFrame(it)
+    whole = {(r.doc_id, r.item_id) for r in leak.found(docs, items, places=False).collect()}
+    parts = {(r.doc_id, r.item_id) for r in leak.found(docs, items, places=False, most=3_000).collect()}
+    assert {(i, i) for i in range(60)} == whole == parts
 
 
 def test_features_of_repeated_rows_are_the_same_in_both_branches(spark):
