@@ -1,8 +1,12 @@
 """Problem 2: defective answers, by tagging an answer's clauses with a conditional random field.
 
 Each clause is tagged answer, refusal, echo, foreign or unfinished; the tags' coverage of the answer gives its defect.
-The field is fitted on the driver on the clauses of SAMPLE answers (the smallest by a hash of their id) which rules have
-labelled, and sent with the tasks; all answers are tagged where the join of trajectories and questions leaves them.
+
+There are no labels, so the field is fitted to clauses whose tag is known by how they were made, from SAMPLE answers and
+their questions: whole answers (answer), the same cut at a random place (unfinished in the end), under a question in
+another language (foreign), a question in an answer's place or before it (echo), and answers that hold no figure which
+isn't the question's own (refusal). What makes the tag is no feature: the field sees words, language, overlap with the
+question, and how a clause opens and ends. It is fitted on the driver and sent with the tasks.
 
 Defined results: an answer that is null in both columns, blank or of layout only is `empty`; trajectories without their
 record or question are judged without a question's language; repeated rows are each judged and reported once.
@@ -20,11 +24,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table, width
+from ..session import table
 from .crf import CRF, hashed
 
-#: Answers whose clauses fit the field.
-SAMPLE = 6_000
+#: Answers whose clauses fit the field, the smallest by a hash of their id, and half as many more without a figure.
+SAMPLE = 3_000
+#: Shares of the sample that are also cut, and that also quote their question.
+CUT, ECHO = 0.7, 0.3
+#: Longer sequences are fitted in parts of so many clauses (all are decoded whole).
+WINDOW = 24
 TAGS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 DIMS = 1 << 13
 
@@ -42,17 +50,13 @@ _ASKED = {
     "en": re.compile(r"英文|英语|in english|auf englisch", re.I), "zh": re.compile(r"中文|汉语|in chinese|auf chinesisch", re.I), "de": re.compile(r"德文|德语|in german|auf deutsch", re.I),
     "es": re.compile(r"西班牙|in spanish", re.I), "ja": re.compile(r"日文|日语|in japanese", re.I), "fr": re.compile(r"法文|法语|in french", re.I),
 }
-_REFUSE = re.compile(
-    r"无法|不能|没法|不便|没有权限|超出.{0,8}(?:能力|范围)|拒绝|不予|can(?:no|')t|can not|(?:do not|don't) have|unable|not able|won't|beyond what i|not allowed|no permission|decline|refuse|not permitted|cannot help|kann (?:ich )?.{0,20}nicht|leider|no puedo|lo siento",
-    re.I,
-)
-_SORRY = re.compile(r"抱歉|很遗憾|不好意思|对不起|sorry|unfortunately|apolog|regret|作为助手|作为.{0,4}(?:ai|模型)|as an? (?:ai|assistant)|i(?:'m| am) afraid", re.I)
 _SENT = re.compile(r"(?<=[。！？!?])(?=\S)|(?<=[.])\s+(?=[^\W\d_])")
 _DATA = re.compile(r"^\s*(?:[|\[{}\]`]|\d{1,3}[.)、]\s|[-*•]\s)")
 _ITEMS = re.compile(r"^(?:[^\s:：,，、;；。]{1,24}(?:[ ][^\s:：,，、;；。]{1,24}){0,3}?\s*[:： ]\s*-?\d[\d.,]*%?\s*[、,，;；.。]*\s*)+$")
 _LEAD = re.compile(r"^\W*(?:题目|问题|您的问题是?|你的问题是?|question|task|任务|your question(?: is| was)?|you asked)\W", re.I)
 _REPLY = re.compile(r"^\W*(?:回答|答|answer|reply|antwort)\W", re.I)
-_NOTICE = re.compile(r"^.{0,600}?\n[ \t]*(?:任务|Task)[ \t]*[:：][ \t]*", re.S)
+_NOTICE = re.compile(r"^.*?\n[ \t]*(?:任务|Task)[ \t]*[:：][ \t]*", re.S)
+_FIGURE = re.compile(r"\d+(?:[.,]\d+)*")
 
 
 def answer_text(final: Column, output: Column) -> Column:
@@ -127,54 +131,51 @@ def _open(c: str) -> bool:
     return False
 
 
-def _ended(c: str, last: bool) -> bool:
-    t = c.rstrip().rstrip("*_\"'”’」』)）`")
-    return bool(t) and (t[-1] in "。！？.!?…;；" or c.rstrip()[-1] in "|]}`" or bool(re.search(r"\d%?$", t)) or (not last and t[-1] in ":："))
+def _is_data(c: str) -> bool:
+    return bool(_DATA.match(c)) or bool(_ITEMS.match(c.strip())) or '[{"' in c
+
+
+def figures(text: str) -> set[str]:
+    """The numbers of a text, parts of codes joined: a figure that stands in the question is no result."""
+    t = unicodedata.normalize("NFKC", text)
+    return set(_FIGURE.findall(re.sub(r"(?<=\d)[\s\u2010-\u2015_.·-](?=\d{3}(?!\d))", "", t))) | set(_FIGURE.findall(t))
+
+
+def _ending(c: str) -> str:
+    """How a clause ends: the kind of its last sign, markup aside."""
+    t = c.rstrip()
+    core = t.rstrip("*_\"'”’」』)）`")
+    if not core:
+        return "layout"
+    x = core[-1]
+    kind = "stop" if x in "。！？.!?…;；" else "colon" if x in ":：" else "comma" if x in ",，、" else "row" if x in "|]}" else "digit" if x.isdigit() or x == "%" else "han" if "一" <= x <= "鿿" else "letter" if x.isalpha() else "sign"
+    return kind + ("+" if len(core) < len(t) else "")
 
 
-def features(cl: list[str], q: str, langs: frozenset[str], bag: set[str]) -> tuple[list[list[str]], list[int]]:
-    """Feature names of each clause, and the rules' label."""
-    out, tags = [], []
-    after_lead = False
+def features(cl: list[str], bag: set[str], langs: frozenset[str]) -> list[list[str]]:
+    """Feature names of each clause, over its whole text."""
+    out = []
     n = len(cl)
+    led = False
     for i, c in enumerate(cl):
         s = _solid(c)
-        data = bool(_DATA.match(c)) or bool(_ITEMS.match(c.strip())) or '[{"' in c
+        data = _is_data(c)
         if _LEAD.match(c):
-            after_lead = True
+            led = True
         if _REPLY.match(c):
-            after_lead = False
+            led = False
         grams = [s[j : j + 4] for j in range(len(s) - 3)] or [s]
-        over = sum(g in bag for g in grams) / len(grams)
+        over = int(sum(g in bag for g in grams) / len(grams) * 5)
         lang = "" if data else language(c)
-        foreign = bool(lang) and bool(langs) and lang not in langs
-        figure = bool(re.search(r"\d", re.sub(r"[a-z]{2}\W?\d{3}\W?\d{3}\W?\d{3}", "", c.lower())))
-        refuse, sorry = bool(_REFUSE.search(c)), bool(_SORRY.search(c))
-        last = i == n - 1
-        opened, ended = _open(c), _ended(c, last)
-        echo = over >= 0.6 and len(s) >= 4 or (after_lead and over >= 0.35)
-        f = [
-            f"data={data}", f"over={int(over * 5)}", f"echo={echo}", f"foreign={foreign}", f"lang={bool(lang)}", f"fig={figure}", f"ref={refuse},{sorry}", f"ref={refuse},fig={figure}", f"last={last},end={ended}",
-            f"last={last},open={opened}", f"lead={after_lead}", f"n={min(n, 4)}", f"pos={min(i, 3)}", f"short={len(s) < 4}", f"echo={echo},lead={after_lead},last={last},end={ended}", f"refo={refuse and not figure},only={n <= 2}",
-        ]
-        low = c.lower()
-        f += [f"w:{w}" for w in re.findall(r"[a-zà-ÿ']{2,}", low)[:6]]
-        f += [f"z:{low[j : j + 2]}" for j in range(0, min(len(low) - 1, 8)) if "一" <= low[j] <= "鿿"]
-        cut = last and ((opened and not echo) or (not ended and not echo))
-        f += [f"cut={cut}", f"far={foreign and not data}", f"declines={(refuse or sorry) and not figure}", f"copy={echo and not data}"]
+        agree = "none" if not lang or not langs else "same" if lang in langs else "other"
+        last, opened, end = i == n - 1, _open(c), _ending(c)
+        f = [f"data={data}", f"over={over}", f"over={over},led={led}", f"over={over},data={data}", f"agree={agree}", f"agree={agree},data={data}", f"last={last},end={end},data={data}", f"last={last},open={opened}", f"led={led}", f"n={min(n, 4)}", f"pos={min(i, 3)}", f"short={len(s) < 4}"]
+        if not data:
+            low = c.lower()
+            f += [f"w:{w}" for w in set(re.findall(r"[a-zà-ÿ']{2,}", low))]
+            f += [f"z:{low[j : j + 2]}" for j in range(len(low) - 1) if "一" <= low[j] <= "鿿" and "一" <= low[j + 1] <= "鿿"]
         out.append(f)
-        if cut:
-            tag = 4
-        elif echo and not data:
-            tag = 2
-        elif foreign:
-            tag = 3
-        elif (refuse or sorry) and not figure:
-            tag = 1
-        else:
-            tag = 0
-        tags.append(tag)
-    return out, tags
+    return out
 
 
 def expected_languages(q: str) -> frozenset[str]:
@@ -187,12 +188,10 @@ def expected_languages(q: str) -> frozenset[str]:
     return frozenset({own, *(k for k, r in _ASKED.items() if r.search(q))})
 
 
-def _prepare(a: str, q: str) -> tuple[list[str], list[list[str]], list[int], frozenset[str]]:
+def _prepare(a: str, q: str) -> tuple[list[str], list[list[str]], str]:
     q = _NOTICE.sub("", q or "")
     cl = clauses(a or "")
-    langs = expected_languages(q)
-    f, t = features(cl, q, langs, _bag(q)) if cl else ([], [])
-    return cl, f, t, langs
+    return cl, features(cl, _bag(q), expected_languages(q)) if cl else [], q
 
 
 def _silent(a: str) -> bool:
@@ -201,7 +200,7 @@ def _silent(a: str) -> bool:
     return not s or bool(re.fullmatch(r"(?:最终答案|答案|结果|回答|答|finalanswer|answer|result|null|none|na|nil)?", s))
 
 
-def defect(a: str, cl: list[str], tags: list[int]) -> str | None:
+def defect(a: str, cl: list[str], tags: list[int], q: str) -> str | None:
     """The defect that the tags' coverage of the answer amounts to."""
     if _silent(a) or not cl:
         return "empty"
@@ -210,27 +209,74 @@ def defect(a: str, cl: list[str], tags: list[int]) -> str | None:
         cover[TAGS[t]] += len(_solid(c))
     if tags[-1] == 4:
         return "truncated"
-    told = sum(len(_solid(c)) for c, t in zip(cl, tags) if t == 0)
-    if cover["refusal"] and not any(t == 0 and re.search(r"\d", c) for c, t in zip(cl, tags)) and not cover["echo"] and cover["foreign"] == 0:
+    own = figures(q)
+    told = [c for c, t in zip(cl, tags) if t == 0]
+    if cover["refusal"] and not cover["foreign"] and not any(figures(c) - own for c in told):
         return "refusal"
-    if cover["echo"] and not told and not cover["foreign"]:
+    if cover["echo"] and not cover["answer"] and not cover["foreign"]:
         return "copied"
-    if cover["foreign"]:
-        talk = sum(len(_solid(c)) for c, t in zip(cl, tags) if t == 0 and language(c) and not _DATA.match(c) and not _ITEMS.match(c.strip()))
-        if cover["foreign"] > talk:
-            return "other_language"
+    if cover["foreign"] > sum(len(_solid(c)) for c in told if not _is_data(c) and language(c)):
+        return "other_language"
     return None
 
 
-def fit(sample: pd.DataFrame) -> CRF:
-    """The field of labelled clauses; with few of them the rules' own features still decide."""
-    crf = CRF(TAGS, DIMS)
-    seqs, tags = [], []
+def made(sample: pd.DataFrame, seed: int = 11) -> tuple[list[list[list[str]]], list[list[int]]]:
+    """(features, tags) of sequences whose tags are known by how they were made; sample: a, q."""
+    rng = np.random.default_rng(seed)
+    rows = []
     for a, q in zip(sample["a"], sample["q"]):
-        _, f, t, _ = _prepare(a, q)
+        cl, f, plain_q = _prepare(a, q)
+        if cl and not _silent(a):
+            rows.append((a, plain_q, cl, f, expected_languages(plain_q)))
+    seqs, tags = [], []
+
+    def add(f: list, t: list[int]) -> None:
         if f:
-            seqs.append([hashed(x, DIMS) for x in f[-12:]]), tags.append(t[-12:])
-    return crf.fit(seqs, tags) if seqs else crf
+            seqs.append(f), tags.append(t)
+
+    for i, (a, q, cl, f, langs) in enumerate(rows):
+        bag = _bag(q)
+        over = [sum(s[j : j + 4] in bag for j in range(len(s) - 3)) / max(len(s) - 3, 1) for s in map(_solid, cl)]
+        quotes = max(over) > 0.3 and bool(q)
+        if q and not figures(a) - figures(q) and not quotes:
+            for _ in range(3):  # rare, so it counts more than once
+                add(f, [1] * len(cl))  # it tells nothing that the question doesn't
+            continue
+        if quotes or any(langs and not _is_data(c) and language(c) not in langs | {""} for c in cl):
+            continue  # what is quoted, or in which language it should be, isn't known here
+        add(f, [0] * len(cl))
+        whole = a.rstrip()
+        for near in (True, False):
+            if rng.random() > CUT or len(whole) < 9:
+                continue
+            at = len(whole) - int(rng.integers(2, min(len(whole) // 2, 30) + 1)) if near else int(rng.integers(len(whole) // 2, len(whole) - 1))
+            part = clauses(whole[:at])
+            # inside a figure nobody can tell, and a cut between clauses leaves whole ones
+            if part and not whole[at - 1].isdigit() and len(part[-1].strip()) < len(cl[min(len(part), len(cl)) - 1].strip()):
+                add(features(part, bag, langs), [0] * (len(part) - 1) + [4])
+        other = rows[int(rng.integers(len(rows)))]
+        for _ in range(8):
+            if not langs & other[4]:
+                break
+            other = rows[int(rng.integers(len(rows)))]
+        if langs and other[4] and not langs & other[4]:
+            lang = [bool(language(c)) and not _is_data(c) for c in cl]
+            if any(lang):
+                add(features(cl, _bag(other[1]), other[4]), [3 if x else 0 for x in lang])
+        if rng.random() < ECHO and q:
+            lead = ["", "", "问题：", "Question: ", "> ", "您的问题是："][int(rng.integers(6))]
+            said = clauses(lead + q)
+            add(features(said, bag, langs), [2] * len(said))
+            reply = clauses(["", "回答：", "Answer: "][int(rng.integers(3))] + a)
+            add(features(said + reply, bag, langs), [2] * len(said) + [0] * len(reply))
+    return seqs, tags
+
+
+def fit(sample: pd.DataFrame) -> CRF:
+    crf = CRF(TAGS, DIMS)
+    seqs, tags = made(sample)
+    parts = [(f[k : k + WINDOW], t[k : k + WINDOW]) for f, t in zip(seqs, tags) for k in range(0, len(f), WINDOW)]
+    return crf.fit([[hashed(x, DIMS) for x in f] for f, _ in parts], [t for _, t in parts], rounds=80) if parts else crf
 
 
 def answers(trajectories: DataFrame, records: DataFrame) -> DataFrame:
@@ -243,7 +289,11 @@ def answers(trajectories: DataFrame, records: DataFrame) -> DataFrame:
 
 def judge(trajectories: DataFrame, records: DataFrame, sample_rows: int = SAMPLE) -> DataFrame:
     """(trajectory_id, defect, answer, refusal, echo, foreign, unfinished): the defective trajectories and their clause coverage."""
-    held = trajectories.orderBy(F.xxhash64("trajectory_id", F.lit(2)), "trajectory_id").limit(sample_rows)
+    order = [F.xxhash64("trajectory_id", F.lit(2)), "trajectory_id"]
+    silent = answer_text(F.col("final_answer"), F.col("trajectory_output"))
+    held = trajectories.orderBy(*order).limit(sample_rows)
+    # answers without a figure are rare, and refusals are among them
+    held = held.unionByName(trajectories.where(~silent.rlike("[0-9０-９]") & silent.rlike(r"\pL{3}")).orderBy(*order).limit(sample_rows // 2)).dropDuplicates(["trajectory_id"])
     keys = held.select("record_id").distinct()
     crf = fit(answers(held, records.join(F.broadcast(keys), "record_id", "left_semi")).orderBy("trajectory_id").toPandas())
     w = crf.w.astype(np.float32)
@@ -258,7 +308,7 @@ def judge(trajectories: DataFrame, records: DataFrame, sample_rows: int = SAMPLE
             rows = []
             for i, (tid, a) in enumerate(zip(b["trajectory_id"], b["a"])):
                 cl, tags = prepared[i][0], paths.get(i, [])
-                d = defect(a, cl, tags)
+                d = defect(a, cl, tags, prepared[i][2])
                 if d:
                     cover = [sum(len(c) for c, t in zip(cl, tags) if t == k) for k in range(len(TAGS))]
                     rows.append((tid, d, *cover))
@@ -266,8 +316,7 @@ def judge(trajectories: DataFrame, records: DataFrame, sample_rows: int = SAMPLE
                 yield pd.DataFrame(rows, columns=["trajectory_id", "defect", *TAGS])
 
     schema = "trajectory_id long, defect string, " + ", ".join(f"{t} int" for t in TAGS)
-    # tagging is heavy: spread the rows evenly, whatever the join's keys and the small size of its partitions
-    return answers(trajectories, records).repartition(width(trajectories.sparkSession)).mapInPandas(run, schema)
+    return answers(trajectories, records).mapInPandas(run, schema)  # where the join leaves them, which splits skewed records
 
 
 def p2_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,10 @@ import zlib
 import numpy as np
 
 
+#: Clauses, padding included, that are decoded at once.
+CELLS = 50_000
+
+
 def hashed(names: list[str], dims: int) -> np.ndarray:
     return np.array([zlib.crc32(x.encode()) % dims for x in names], np.int64)
 
@@ -82,8 +86,12 @@ class CRF:
         """The best tag sequence of each non-empty sequence."""
         out: list[list[int]] = [[] for _ in seqs]
         order = sorted(range(len(seqs)), key=lambda i: len(seqs[i]))
-        for a in range(0, len(order), 2048):
-            part = order[a : a + 2048]
+        a = 0
+        while a < len(order):
+            b = a + 1
+            while b < len(order) and (b + 1 - a) * len(seqs[order[b]]) <= CELLS:
+                b += 1
+            part, a = order[a:b], b
             e, n = self._pad([seqs[i] for i in part], self.w)
             size = e.shape[1]
             v, back = e[:, 0].copy(), np.zeros((len(part), size, e.shape[2]), np.int64)

@@ -129,21 +129,53 @@ def test_crf_learns_a_sequence_rule():
     assert right / sum(map(len, tags)) > 0.75
 
 
+def _answers(n, seed=3):
+    """(answer, question, defect) of n pairs in two languages, some of them refusals."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        code, figure = f"{rng.randrange(100, 999)}-{rng.randrange(100, 999)}-{rng.randrange(100, 999)}", rng.choice([str(rng.randrange(2, 9000)), f"{rng.uniform(1, 900):.2f}"])
+        if i % 2:
+            q = f"算出货重合计。口径：波次BC{code}，2024年6月，驿站达，已撤单，单票至少为18千克。"
+            a = rng.choice([figure, f"经核对，结果为 {figure}。", f"**最终答案：{figure}**", f"抱歉刚才的语句有误，已重跑。结果：{figure}", f"| 类别 | 数值 |\n| --- | ---: |\n| 驿站达 | {figure} |\n| 大件达 | 3.5 |", '[{"category":"W1","value":%s},{"category":"W2","value":7}]' % figure, f"1. 驿站达：{figure}\n2. 大件达：88"]) + rng.choice(["", "", "\n查询只读，没有改动数据。", "\n边界月份按左闭右开处理。"])
+            no = rng.choice(["抱歉", "对不起", "不好意思"]) + "，" + rng.choice(["我没有权限执行查询", "我不能回答这个问题", "这个请求我没法完成"]) + "，请联系管理员。"
+        else:
+            q = f"Please find the total weight. Scope: wave BC{code}, June 2024, locker, withdrawn, single weight at least 18 kg. The briefing still lacks one line."
+            a = rng.choice([figure, f"The answer is {figure}.", f"After checking, the result is {figure}.", f"Unfortunately the first attempt timed out, here is the retry. Result: {figure}", f"| category | value |\n| --- | ---: |\n| locker | {figure} |\n| bulky | 3.5 |", f"locker {figure}, bulky 9.5."]) + rng.choice(["", "", "\nThe query was read only.", "\nLate rows count by their first load time."])
+            no = rng.choice(["Sorry", "Unfortunately", "I regret"]) + ", " + rng.choice(["I cannot help with that request", "I am not able to open this database", "this is beyond what I can do"]) + "."
+        out.append((no, "Workspace\nTask: " + q, "refusal") if i % 13 == 0 else (a, "Workspace\nTask: " + q, None))
+    return out
+
+
 def test_answer_defects(spark):
     q_en, q_zh = "Task: " + BASE, "算出货重合计。口径：波次BC004-182-928，2024年6月，驿站达，已撤单，单票至少为18千克。"
     cases = [
         ("The answer is 12.5. The query was read only.", q_en, None), ("12", q_en, None), ("", q_en, "empty"), ("> ", q_zh, "empty"), ("最终答案：", q_zh, "empty"), (None, q_zh, "empty"),
-        ("Sorry, I cannot help with that request.", q_en, "refusal"), ("抱歉刚才的语句有误，已重跑。结果：5", q_zh, None), ("Question: " + BASE, q_en, "copied"), ("Question: " + BASE + "\nAnswer: 5", q_en, None),
-        ('```json\n[\n {\n  "category": "a",\n  "va', q_zh, "truncated"), ("经核对，结果为 369。晚到的记录按首次入", q_zh, "truncated"), ("Das Ergebnis lautet 17, berechnet für den genannten Zeitraum.", q_zh, "other_language"), ("The answer is 17. The query was read only.", q_zh + "请用英文作答。", None),
+        ("Sorry, I cannot help with that request.", q_en, "refusal"), ("Sorry, this is beyond what I can do. Data on BC004-182-928 is internal.", q_en, "refusal"), ("抱歉刚才的语句有误，已重跑。结果：5", q_zh, None), ("Question: " + BASE, q_en, "copied"), (BASE.upper(), q_en, "copied"),
+        ("Question: " + BASE + "\nAnswer: 5", q_en, None), ('[{"category":"W1","value":3},{"category":"W2","va', q_zh, "truncated"), ("| 类别 | 数值 |\n| --- | ---: |\n| 驿站达 | 8 |\n| 大件", q_zh, "truncated"), ("经核对，结果为 369。查询只读，没有", q_zh, "truncated"), ("After checking, the result is 22. Late rows count by their fi", q_en, "truncated"),
+        ("Das Ergebnis lautet 17, berechnet für den genannten Zeitraum.", q_zh, "other_language"), ("The answer is 17. The query was read only.", q_zh + "请用英文作答。", None), ("The answer is 17. The query was read only.", q_zh, "other_language"), ("经核对，结果为 36。查询只读，没有改动数据。", q_en, "other_language"), ("The answer is 17. " * 4000, q_en, None),
     ]
-    pool = cases * 8
-    t = spark.createDataFrame([(i, i, a, "o</think>" + (a or "")) for i, (a, _, _) in enumerate(pool)], "trajectory_id long, record_id long, final_answer string, trajectory_output string")
-    r = spark.createDataFrame([(i, [("user", q)]) for i, (_, q, _) in enumerate(pool)], "record_id long, prompt array<struct<role string, content string>>")
+    pool = cases + _answers(900)
+    t = spark.createDataFrame([(i, i if i != 3 else None, a, "o</think>" + (a or "")) for i, (a, _, _) in enumerate(pool)], "trajectory_id long, record_id long, final_answer string, trajectory_output string")
+    r = spark.createDataFrame([(i, [("user", q)], "clash") for i, (_, q, _) in enumerate(pool)], "record_id long, prompt array<struct<role string, content string>>, trajectory_output string")
     got = {x.trajectory_id: x.defect for x in answer_defects.judge(t, r).collect()}
     assert {i: got.get(i) for i in range(len(cases))} == {i: d for i, (_, _, d) in enumerate(cases)}
+    wrong = [(a, got.get(i), d) for i, (a, _, d) in enumerate(pool) if got.get(i) != d]
+    assert len(wrong) <= 9, wrong[:5]
     assert answer_defects.judge(t.limit(0), r).count() == 0
 
 
+def test_the_field_tags_clauses_it_has_not_seen():
+    pool = [(a, q) for a, q, _ in _answers(1200)]
+    crf = answer_defects.fit(pd.DataFrame(pool[:700], columns=["a", "q"]))
+    seqs, tags = answer_defects.made(pd.DataFrame(pool[700:], columns=["a", "q"]), seed=5)
+    pairs = [(t, p) for ts, ps in zip(tags, crf.decode([[hashed(f, answer_defects.DIMS) for f in s] for s in seqs])) for t, p in zip(ts, ps)]
+    assert sum(t == p for t, p in pairs) / len(pairs) > 0.97
+    for tag in range(5):
+        own = [p for t, p in pairs if t == tag]
+        assert own and sum(p == tag for p in own) / len(own) > 0.85, answer_defects.TAGS[tag]
+
+
 def test_cut_texts(spark):
     whole = [f"Run {i} took {i * 7} minutes, and the other side has been told. We will look at it again next week." for i in range(30)]
     text = [(w, "a") for w in whole] + [(whole[3][:-14], "a"), ('[{"category": "x", "va', "a"), ("CREATE TABLE t (id TEXT", "a"), ("| a | 1 |\n| b", "a"), ("4511", "a"), ("OK", "a"), ("OK", "a"), ("OK", "a"), (None, "a"), ("  ", None), ("Look at it again next week", "a")]
