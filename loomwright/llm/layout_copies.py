@@ -1,12 +1,14 @@
 """Problem 4: copies of a text that differ in layout only, with their counts, safe against hot keys.
 
 Plan: one scan computes a 128-bit canonical key per row and writes (table, id, key); exact key counts come from a
-map-side combined aggregation; keys above `hot_rows` are salted into a two-level aggregation, the rest take one level.
+map-side combined aggregation, whose result is kept only for keys above `hot_rows`. Rows of these are salted into a
+two-level aggregation; all other rows are shuffled once, by their key, which gives the representative and the copies.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import small_enough, table, written
@@ -16,42 +18,56 @@ from .layout import request_key, statement_key
 HOT_ROWS = 100_000
 #: Hot keys are broadcast only while there are no more than this; beyond it they are joined by shuffle.
 HOT_KEYS_BROADCAST = 50_000
+SALTS = 64
+_KEY = ["table_name", "k1", "k2"]
 
 
 def keyed(df: DataFrame, table_name: str) -> DataFrame:
     """(table_name, id, key) rows to (table_name, id, k1, k2), without null and blank texts; two seeds make 128 bits."""
     name = F.lit(table_name)
-    return df.where(F.col("key").isNotNull() & (F.length("key") > 1)).select(name.alias("table_name"), F.col("id").cast("bigint").alias("id"), F.xxhash64(F.lit(17), name, "key").alias("k1"), F.xxhash64(F.lit(40961), "key", name).alias("k2"))
+    return df.where(F.col("id").isNotNull() & F.col("key").isNotNull() & (F.length("key") > 1)).select(name.alias("table_name"), F.col("id").cast("bigint").alias("id"), F.xxhash64(F.lit(17), name, "key").alias("k1"), F.xxhash64(F.lit(40961), "key", name).alias("k2"))
 
 
-def copy_sets(rows: DataFrame, hot_rows: int = HOT_ROWS, salts: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(sets, members): sets (table_name, k1, k2, id_low, n_copies) of every key, members with the key's hot flag.
+def hot_keys(rows: DataFrame, hot_rows: int) -> DataFrame:
+    """The keys of more than hot_rows rows, by partial counts."""
+    return rows.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select(*_KEY)
+
+
+def split(rows: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """(cold, hot) rows; hot is None where no key is hot, so that nothing is computed for it."""
+    hot = written(hot_keys(rows, hot_rows), "p4-hot")
+    if hot.isEmpty():
+        return rows, None
+    side = F.broadcast(hot) if small_enough(hot, HOT_KEYS_BROADCAST) else hot
+    return rows.join(side, _KEY, "left_anti"), rows.join(side, _KEY, "left_semi")
+
+
+def _hot_sets(hot: DataFrame) -> DataFrame:
+    """Two levels: each salt's share of a key first, then the key."""
+    one = hot.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).groupBy(*_KEY, "salt", "id").agg(F.lit(1).alias("one"))
+    level1 = one.groupBy(*_KEY, "salt").agg(F.min("id").alias("id_low"), F.count(F.lit(1)).alias("n"))
+    return level1.groupBy(*_KEY).agg(F.min("id_low").alias("id_low"), F.sum("n").alias("n_copies"))
+
+
+def copy_sets(rows: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """(table_name, k1, k2, id_low, n_copies) of every key.
 
     Repeated rows of one id count as one record. Empty input gives empty output.
     """
-    key = ["table_name", "k1", "k2"]
-    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    hot = counts.where(F.col("n") > hot_rows).select(*key, F.lit(True).alias("hot"))
-    if small_enough(hot, HOT_KEYS_BROADCAST):
-        hot = F.broadcast(hot)
-    marked = rows.join(hot, key, "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    salted = marked.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
-    level1 = salted.groupBy(*key, "hot", "salt").agg(F.min("id").alias("id_low"), F.countDistinct("id").alias("n"))
-    sets = level1.groupBy(*key, "hot").agg(F.min("id_low").alias("id_low"), F.sum("n").alias("n_copies"))
-    return sets, marked
-
-
-def copies(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    cold, hot = split(rows, HOT_ROWS if hot_rows is None else hot_rows)
+    sets = cold.groupBy(*_KEY).agg(F.min("id").alias("id_low"), F.countDistinct("id").alias("n_copies"))
+    return sets if hot is None else sets.unionByName(_hot_sets(hot))
+
+
+def copies(rows: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """(table_name, id_low, id_high): each further id of a set of copies beside the set's smallest id."""
-    key = ["table_name", "k1", "k2"]
-    sets, marked = copy_sets(rows, hot_rows)
-    sets = sets.where("n_copies > 1")
-    hot = sets.where("hot").select(*key, "id_low")
-    hot_side = F.broadcast(hot) if small_enough(hot, HOT_KEYS_BROADCAST) else hot
-    warm = marked.where(~F.col("hot")).join(sets.where(~F.col("hot")).select(*key, "id_low"), key)
-    hotter = marked.where("hot").join(hot_side, key)
-    both = warm.unionByName(hotter)
-    return both.where(F.col("id") > F.col("id_low")).select("table_name", "id_low", F.col("id").alias("id_high"))
+    cold, hot = split(rows, HOT_ROWS if hot_rows is None else hot_rows)
+    low = F.min("id").over(W.partitionBy(*_KEY))
+    out = cold.withColumn("id_low", low)  # one shuffle; a cold key has at most hot_rows rows
+    if hot is not None:
+        sets = _hot_sets(hot).select(*_KEY, "id_low")
+        out = out.unionByName(hot.join(F.broadcast(sets) if small_enough(sets, HOT_KEYS_BROADCAST) else sets, _KEY))
+    return out.where(F.col("id") > F.col("id_low")).select("table_name", "id_low", F.col("id").alias("id_high")).distinct()
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +81,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(written(sources(spark, sf_dir), "p4"))
 
 
+def p4_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p4_found by the path of hot keys: every key of more than one row is salted."""
+    return copies(written(sources(spark, sf_dir), "p4"), 1)
+
+
 def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each distinct text: the kept id and its number of copies."""
-    sets, _ = copy_sets(written(sources(spark, sf_dir), "p4"))
-    return sets.select("table_name", "id_low", "n_copies")
+    return copy_sets(written(sources(spark, sf_dir), "p4")).select("table_name", "id_low", "n_copies")

@@ -15,6 +15,7 @@ def queries() -> dict:
         "p3_found": cut_texts.p3_found,
         "p3_shares": cut_texts.p3_shares,
         "p4_found": layout_copies.p4_found,
+        "p4_hot": layout_copies.p4_hot,
         "p4_counts": layout_copies.p4_counts,
         "p6_found": leak.p6_found,
         "p6_items": leak.p6_items,

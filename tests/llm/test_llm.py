@@ -44,12 +44,17 @@ def keys(spark, make, texts):
 def test_request_keys(spark):
     k = keys(spark, request_key, ["期间=2024年7月；服务=驿站达；单票千克=>=7.5", "- 服务: 驿站达 / 单票千克: >=７.５ / 期间: 2024 年 7 月.", "期间=2024年7月；服务=驿站达；单票千克=>=75", "期间=2024年7月；服务=驿站达；单票千克=<7.5", "Keep two decimals.", "**KEEP  two\tdecimals**", "Keep two decimal", None, " \n ", "x" * 100_000])
     assert k[0] == k[1] and len({k[0], k[2], k[3]}) == 3
+    two = keys(spark, request_key, ["period=2024-07;service=locker", "Service: locker / period = 2024-07", "period=2024-07;service=lockers", "periods=2024-07;ervice=locker"])
+    assert two[0] == two[1] and len({two[0], two[2], two[3]}) == 3
     assert k[4] == k[5] != k[6] and k[7] is None and k[8] == "" and len(k[9]) == 100_000
 
 
 def test_statement_keys(spark):
     k = keys(spark, statement_key, ["SELECT a.x AS c, ROUND(100.0 * SUM(b) / COUNT(*), 2) AS v FROM t WHERE k >= 7.5", "select round( 100.0 * sum(b) / count( * ), 2 ) as v,a.[x] as c\r\n from t where k>=7.5;", "SELECT a.x AS c, ROUND(100.0 * SUM(b) / COUNT(*), 2) AS v FROM t WHERE k < 7.5", "SELECT a.x AS c, ROUND(100.0 * SUM(b) / COUNT(*), 3) AS v FROM t WHERE k >= 7.5", "SELECT a.x AS d, ROUND(100.0 * SUM(b) / COUNT(*), 2) AS v FROM t WHERE k >= 7.5", None])
     assert k[0] == k[1] and len({k[0], k[2], k[3], k[4]}) == 4 and k[5] is None
+    deep = "f(" * 9 + "a, b" + ")" * 9
+    k = keys(spark, statement_key, [f"SELECT {deep} AS x, c FROM t", f"select c, {deep} as x from t", f"SELECT {deep.replace('a, b', 'b, a')} AS x, c FROM t", "SELECT (a, b FROM t", "", "SELECT " + "a, " * 5000 + "b FROM t"])
+    assert k[0] == k[1] != k[2] and k[3] is not None and k[5] is not None
 
 
 def test_copies_with_and_without_hot_keys(spark):
@@ -64,7 +69,7 @@ def test_copies_with_and_without_hot_keys(spark):
         want |= {(min(g), x) for x in g if x != min(g)}
     for hot in (10**9, 50):
         assert {(r.id_low, r.id_high) for r in layout_copies.copies(df, hot).collect()} == want
-        sets, _ = layout_copies.copy_sets(df, hot)
+        sets = layout_copies.copy_sets(df, hot)
         assert {r.k1: r.n_copies for r in sets.collect()} == {k: len(g) for k, g in groups.items()}
     assert layout_copies.copies(df.limit(0)).count() == 0
 
