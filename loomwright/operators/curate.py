@@ -125,20 +125,27 @@ def quota_then_fill(df: DataFrame, first: list[str], k1: int, second: list[str],
     return a.unionByName(stratum_top(rest, second, order, k2).drop("rank").withColumn("round", F.lit(2)))
 
 
-def halves(df: DataFrame, order: Column) -> DataFrame:
-    """df with half 0 or 1 by the parity of the seeded hash: disjoint, and the same without any global rank."""
-    return df.withColumn("half", F.conv(F.substring(order, 64, 1), 16, 10).cast("int") % 2)
+def halves(df: DataFrame, order: Column, key: str) -> DataFrame:
+    """df with half 0 or 1, equal in size but for one row, in seeded order: a rank inside hash ranges, offset by their counts.
+
+    The ranges are so many that none holds much; their counts, one row a range, are all that one task sees.
+    """
+    d = df.withColumn("_o", order).withColumn("_b", F.left("_o", F.lit(3)))
+    n = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    n = n.select("_b", (F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")).alias("_before"))  # at most 4096 rows
+    r = d.join(F.broadcast(n), "_b").withColumn("_r", F.col("_before") + F.row_number().over(W.partitionBy("_b").orderBy("_o", key)))
+    return r.withColumn("half", ((F.col("_r") - 1) % 2).cast("int")).drop("_o", "_b", "_before", "_r")
 
 
 def fingerprint(df: DataFrame, ident: Column) -> DataFrame:
-    """(n, x0..x3, s0..s3): order-free fingerprint of a set of identities: xor and wrapped sums of four 64-bit words of SHA-256.
+    """(n, x0..x7, s0..s7): order-free fingerprint of a set of identities, over the eight 32-bit words of their SHA-256.
 
-    Equal sets give equal rows; it merges over parts, so it is one aggregation with partial results.
+    Words are combined by xor and by an exact sum (which a set of 2^31 identities can't overflow). Equal sets give equal
+    rows; it merges over parts, so it is one aggregation with partial results.
     """
-    d = df.select(F.sha2(ident, 256).alias("_h"))
-    word = [F.expr(f"cast(conv(substring(_h, {16 * i + 1}, 15), 16, 10) as bigint)") for i in range(4)]
-    w = d.select(*(c.alias(f"w{i}") for i, c in enumerate(word)))
-    return w.agg(F.count(F.lit(1)).alias("n"), *(F.bit_xor(f"w{i}").alias(f"x{i}") for i in range(4)), *((F.sum(F.col(f"w{i}") % 1_000_003)).alias(f"s{i}") for i in range(4)))
+    d = df.where(ident.isNotNull()).select(F.sha2(ident, 256).alias("_h"))
+    w = d.select(*(F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("bigint").alias(f"w{i}") for i in range(8)))
+    return w.agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.bit_xor(f"w{i}"), F.lit(0)).alias(f"x{i}") for i in range(8)), *(F.coalesce(F.sum(f"w{i}"), F.lit(0)).alias(f"s{i}") for i in range(8)))
 
 
 def overlap_matrix(df: DataFrame, group: str, key: str) -> DataFrame:

@@ -27,13 +27,10 @@ def bernoulli_js(p: Column, q: Column) -> Column:
 
 
 def pearson(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Correlation of complete pairs by group; null where a side is constant."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    n, sx, sy = F.count(F.lit(1)), F.sum(x), F.sum(y)
-    sxx, syy, sxy = F.sum(F.col(x) * F.col(x)), F.sum(F.col(y) * F.col(y)), F.sum(F.col(x) * F.col(y))
-    g = d.groupBy(*by).agg(n.alias("n"), sx.alias("sx"), sy.alias("sy"), sxx.alias("sxx"), syy.alias("syy"), sxy.alias("sxy"))
-    vx, vy = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
-    return g.select(*by, "n", F.when((vx > 1e-9) & (vy > 1e-9), F.round((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vx * vy), 4)).alias("r"))
+    """Correlation of complete pairs by group, from centred moments that merge; null where a side is constant."""
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("_x", "_y").alias("_c"), F.stddev_pop("_x").alias("_sx"), F.stddev_pop("_y").alias("_sy"))
+    return g.select(*by, "n", F.round(F.try_divide("_c", F.col("_sx") * F.col("_sy")), 4).alias("r"))
 
 
 def paired(left: DataFrame, right: DataFrame, key: str, metric: str, dead: float = 1e-12) -> DataFrame:
@@ -68,29 +65,42 @@ def trials_needed(successes: int, alpha: float, beta: float, target: float, most
     return next((n for n in range(successes, most + 1) if sum(beta_binomial(n, alpha, beta)[successes:]) >= target), None)
 
 
-def bootstrap(df: DataFrame, value: str, draws: int = 2_000, seed: int = 11) -> DataFrame:
-    """(mean, low, high): 95 % interval of the mean by Poisson resampling, one pass and mergeable.
+def bootstrap(df: DataFrame, value: str, key: list[str], draws: int = 2_000, seed: int = 11) -> DataFrame:
+    """(n, mean, low, high): 95 % interval of the mean by Poisson resampling, one pass and mergeable.
 
-    Each row's weight in draw d is a Poisson(1) variate from a hash of row and draw, so rows aren't expanded per draw:
-    a batch gives partial sums for all draws.
+    Each row's weight in a draw is a Poisson(1) variate by its inverse distribution from a hash of the row's key and the
+    draw, for a batch at once: the same rows give the same interval however they are parted. `key` tells rows apart.
     """
     import numpy as np
 
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    salts = np.random.default_rng(seed).integers(1, 2**63, draws, dtype=np.uint64) | np.uint64(1)
+
     def run(batches):
-        total, weight = np.zeros(draws), np.zeros(draws)
-        n, s = 0, 0.0
+        total, weight, n, s = np.zeros(draws), np.zeros(draws), 0, 0.0
         for b in batches:
-            for i, v in zip(b["_h"].to_numpy(), b["_v"].to_numpy()):
-                w = np.random.default_rng([seed, int(i) & 0xFFFFFFFF]).poisson(1.0, draws)
-                total += w * v
-                weight += w
-                n, s = n + 1, s + v
-        yield pd.DataFrame({"draw": np.arange(draws), "t": total, "w": weight, "n": [n] + [0] * (draws - 1), "s": [s] + [0.0] * (draws - 1)})
-
-    d = df.where(F.col(value).isNotNull()).select(F.xxhash64(*df.columns).alias("_h"), F.col(value).cast("double").alias("_v"))
+            for a in range(0, len(b), 1_000):
+                h, v = b["_h"].to_numpy()[a : a + 1_000].astype(np.int64).view(np.uint64), b["_v"].to_numpy()[a : a + 1_000]
+                with np.errstate(over="ignore"):
+                    u = (h[:, None] ^ salts[None]) * np.uint64(0x9E3779B97F4A7C15)
+                    u = (u ^ (u >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                w = np.searchsorted(steps, (u >> np.uint64(11)).astype(np.float64) / 2.0**53, side="right")
+                total += v @ w
+                weight += w.sum(0)
+                n, s = n + len(v), s + float(v.sum())
+        if n:
+            yield pd.DataFrame({"draw": np.arange(draws), "t": total, "w": weight, "n": [n] + [0] * (draws - 1), "s": [s] + [0.0] * (draws - 1)})
+
+    d = df.where(F.col(value).isNotNull()).select(F.xxhash64(F.lit(seed), *key).alias("_h"), F.col(value).cast("double").alias("_v"))
     per = d.mapInPandas(run, "draw long, t double, w double, n long, s double").groupBy("draw").agg(F.sum("t").alias("t"), F.sum("w").alias("w"), F.sum("n").alias("n"), F.sum("s").alias("s"))
     m = F.try_divide("t", "w")
-    return per.agg(F.sum("n").alias("n"), F.round(F.try_divide(F.sum("s"), F.sum("n")), 6).alias("mean"), F.round(F.percentile(m, F.lit(0.025)), 4).alias("low"), F.round(F.percentile(m, F.lit(0.975)), 4).alias("high"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.round(F.try_divide(F.sum("s"), F.sum("n")), 6).alias("mean"), F.round(F.percentile(m, F.lit(0.025)), 4).alias("low"), F.round(F.percentile(m, F.lit(0.975)), 4).alias("high"))
+
+
+def paired_bootstrap(left: DataFrame, right: DataFrame, key: str, metric: str, draws: int = 2_000, seed: int = 11) -> DataFrame:
+    """bootstrap of the right side's gain over the left one, at the grain of their common keys."""
+    d = left.select(key, F.col(metric).alias("_a")).join(right.select(key, F.col(metric).alias("_b")), key)
+    return bootstrap(d.select(key, (F.col("_b") - F.col("_a")).alias("gain")), "gain", [key], draws, seed)
 
 
 def timeout_bounds(steps: DataFrame, slowest: str, thresholds: list[float]) -> DataFrame:

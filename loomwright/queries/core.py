@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import sql_text
+from ..functions import closeness, sql_text
 from ..functions import tables as tbl
 from ..functions import text as tx
 from ..operators import audit, curate, groups, more, nested, scoring, select, stats, telemetry
@@ -318,8 +318,13 @@ add(
     lambda s, d: curate.interleaved(table(s, d, "task").select("task_no", "task_id", "difficulty_level").where("difficulty_level is not null"), "difficulty_level", curate.seeded("i", "task_id")).where("turn <= 10").select("task_no", "difficulty_level", "turn"),
     "SELECT * FROM (SELECT task_no, difficulty_level, CAST(row_number() OVER (PARTITION BY difficulty_level ORDER BY sha256('i:' || task_id)) AS INTEGER) AS turn FROM task WHERE difficulty_level IS NOT NULL) WHERE turn <= 10",
 )
-add("curate_fingerprint", lambda s, d: curate.fingerprint(table(s, d, "task"), F.col("task_id")))
-add("curate_halves", lambda s, d: curate.halves(table(s, d, "task").select("task_no", "task_id"), curate.seeded("h", "task_id")).groupBy("half").agg(F.count(F.lit(1)).alias("n")))
+_WORDS = [f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)" for i in range(8)]
+add(
+    "curate_fingerprint",
+    lambda s, d: curate.fingerprint(table(s, d, "task"), F.col("task_id")),
+    "WITH t AS (SELECT sha256(task_id) AS h FROM task WHERE task_id IS NOT NULL) SELECT count(*) AS n, " + ", ".join(f"bit_xor({w}) AS x{i}, CAST(sum({w}) AS BIGINT) AS s{i}" for i, w in enumerate(_WORDS)) + " FROM t",
+)
+add("curate_halves", lambda s, d: curate.halves(table(s, d, "task").select("task_no", "task_id"), curate.seeded("h", "task_id"), "task_no").select("task_no", "half"), "SELECT task_no, CAST((row_number() OVER (ORDER BY sha256('h:' || task_id), task_no) - 1) % 2 AS INTEGER) AS half FROM task")
 
 # --- text -------------------------------------------------------------------------------------------------------------
 _SQLCOL = "reward_model.ground_truth.verification_sql"
@@ -331,12 +336,7 @@ add(
 add("text_sql_aggregates", lambda s, d: table(s, d, "training_record").select(F.explode(tx.aggregate_calls(F.col(_SQLCOL))).alias("call")).groupBy("call").agg(F.count(F.lit(1)).alias("n")))
 add("text_sql_where", lambda s, d: table(s, d, "training_record").select("record_id", F.array_join(tx.where_literals(F.col(_SQLCOL)), "|").alias("literals"), F.array_join(tx.where_numbers(F.col(_SQLCOL)), "|").alias("numbers")))
 add("text_read_only", lambda s, d: table(s, d, "training_record").groupBy(tx.read_only(F.col(_SQLCOL)).alias("read_only")).agg(F.count(F.lit(1)).alias("n")))
-add("text_numbers", lambda s, d: table(s, d, "trajectory").select("trajectory_id", tx.answer_numbers(F.col("final_answer")).alias("xs")).groupBy(F.size("xs").alias("numbers")).agg(F.count(F.lit(1)).alias("n")))
 add("text_final_answer", lambda s, d: table(s, d, "trajectory").select("trajectory_id", F.sha2(tx.final_answer(F.col("trajectory_output")), 256).alias("answer_sha256")))
-add(
-    "text_unsafe_commands",
-    lambda s, d: table(s, d, "trajectory").select(F.explode("pi_tool_events").alias("e")).select(F.explode_outer(tx.unsafe_reasons(F.coalesce(F.col("e.arguments.command"), F.lit("")))).alias("reason")).groupBy(F.coalesce("reason", F.lit("safe")).alias("reason")).agg(F.count(F.lit(1)).alias("n")),
-)
 add("text_command_families", lambda s, d: table(s, d, "trajectory").select(F.explode("pi_tool_events").alias("e")).groupBy(tx.command_family(F.col("e.arguments.command")).alias("family")).agg(F.count(F.lit(1)).alias("n")))
 add(
     "text_openings",
@@ -362,7 +362,7 @@ def _answered(s: SparkSession, d: str) -> DataFrame:
 
 # --- verification and scoring -----------------------------------------------------------------------------------------
 add("verify_answers", lambda s, d: _answered(s, d).select(tbl.match_mode("final_answer", "g.expected_value_json", "g.abs_tol", "g.rel_tol", F.lit(True)).alias("mode"), "g.answer_type").groupBy("answer_type", "mode").agg(F.count(F.lit(1)).alias("n")))
-add("verify_closeness", lambda s, d: _answered(s, d).select("trajectory_id", tbl.closeness("final_answer", "g.expected_value_json").alias("closeness")))
+add("verify_closeness", lambda s, d: _answered(s, d).select("trajectory_id", closeness.closeness(F.col("final_answer"), F.col("g.expected_value_json")).alias("closeness")))
 
 
 def _scored(s: SparkSession, d: str) -> DataFrame:
@@ -444,7 +444,8 @@ def _arms(x: DataFrame) -> tuple[DataFrame, DataFrame]:
 _ARMS = f"WITH s AS ({_S}), d AS (SELECT task, round(avg(reward) FILTER (WHERE step > 15), 6) - round(avg(reward) FILTER (WHERE step <= 15), 6) AS x FROM s GROUP BY 1)"
 add("stats_paired", over(lambda x: stats.paired(*_arms(x), "task", "score")), f"{_ARMS} SELECT count(x) AS n, count(*) FILTER (WHERE x > 1e-12) AS wins, count(*) FILTER (WHERE x < -1e-12) AS losses, count(*) FILTER (WHERE abs(x) <= 1e-12) AS ties, round(avg(x), 6) AS mean_delta FROM d")
 add("stats_sign_test", over(lambda x: stats.paired(*_arms(x), "task", "score").select("wins", "losses", stats.sign_test("wins", "losses").alias("p_value"))))
-add("stats_bootstrap", over(lambda x: stats.bootstrap(x.select("event_id", "reward"), "reward", 500)))
+add("stats_bootstrap", over(lambda x: stats.bootstrap(x.select("event_id", "reward"), "reward", ["event_id"], 500)))
+add("stats_paired_bootstrap", over(lambda x: stats.paired_bootstrap(*_arms(x), "task", "score", 500)))
 add(
     "stats_timeout_bounds",
     over(lambda x: stats.timeout_bounds(x.groupBy("step").agg(F.max("reward").alias("slowest")), "slowest", [200.0, 300.0, 400.0])),

@@ -6,6 +6,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
+from loomwright.functions import closeness
 from loomwright.functions import tables as tbl
 from loomwright.functions import text as tx
 from loomwright.operators import curate, groups, scoring, stats, telemetry
@@ -40,9 +41,13 @@ def test_commands(spark):
     assert col(spark, "curl http://x; rm -rf /etc", tx.unsafe_reasons) == ["network", "destructive", "host_path_escape"]
     assert col(spark, "sqlite3 db .tables", tx.command_family) == "sqlite_schema_catalog"
     assert col(spark, "cd /a && python3 x.py", tx.command_family) == "python"
+    assert col(spark, "sqlite3 db 'select replace(a, b, c) from t'", tx.command_family) == "sqlite_readonly"
+    assert col(spark, "find / -name x", tx.unsafe_reasons) == ["root_scan"] and col(spark, "python -c 'import requests'", tx.unsafe_reasons) == ["python_network"]
+    assert col(spark, "cat ../../etc/passwd", tx.unsafe_reasons) == ["host_path_escape"] and col(spark, None, tx.unsafe_reasons) == []
+    assert col(spark, "assistant: 5\nuser: and now?", tx.final_answer) == "5"
 
 
-def test_tables():
+def test_tables(spark):
     want = '[{"category": "a", "value": 1.0}, {"category": "b", "value": 2.0}]'
     assert tbl.answer_matches("x\n| c | v |\n|---|---|\n| b | 2 |\n| a | 1 |", want, None, None, False) == "pipe"
     assert tbl.answer_matches("| b | 2 |\n| a | 1 |", want, None, None, True) == "none"
@@ -52,8 +57,12 @@ def test_tables():
     assert tbl.answer_matches(None, want, None, None, True) == "none"
     assert tbl.same_rows([["1"], ["1.0009"]], [[1.0005], [1.0]], 6e-4, 0, False)  # needs the exchange of an earlier match
     assert not tbl.same_rows([["1"], ["1"]], [[1.0], [2.0]], 1e-3, 0, False)
-    assert tbl.graded_closeness("1 or 2", want) == 0.85
-    assert tbl.graded_closeness("", "3") == 0.0
+    cases = [("1 or 2", want), ("", "3"), (None, "3"), ("3", None), ("3", "3"), ("1 2 3 4 5 6 7 8", "3"), ("x 6", "3"), ("5", "not json")]
+    got = [r[0] for r in spark.createDataFrame(cases, "a string, e string").select(closeness.closeness(F.col("a"), F.col("e"))).collect()]
+    assert got == [0.85, 0.0, 0.0, 0.0, 1.0, 0.612372, 0.2, 0.0]
+    assert tbl.rectangle([{"a": 1}, {"b": 1}]) is None and tbl.rectangle([[1], [2]]) == [[1], [2]] and tbl.rectangle([{"a": 1, "b": 2}]) == [[1, 2]] and tbl.rectangle([]) is None and tbl.rectangle({}) is None
+    assert tbl.unranked([["1", "a"], ["2", "b"]], 1) == [["a"], ["b"]] and tbl.unranked([["1", "a"], ["3", "b"]], 1) == [["1", "a"], ["3", "b"]]
+    assert tbl.cell_equal("12%", 0.12, 1e-9, 0) and tbl.cell_equal("n/a", None, 0, 0) and not tbl.cell_equal("1", True, 0, 0)
 
 
 def test_scoring_edges(spark):
@@ -87,6 +96,8 @@ def test_curation(spark):
     assert {(r.s, r.id) for r in top} == {(s, i) for s, x in want.items() for _, i in x}
     a, b = curate.fingerprint(d, F.col("id").cast("string")), curate.fingerprint(d.orderBy(F.desc("id")).repartition(7), F.col("id").cast("string"))
     assert a.first() == b.first()
+    h = curate.halves(d, curate.seeded("z", "id"), "id").groupBy("half").count().collect()
+    assert sorted(r["count"] for r in h) == [500, 500]
     assert curate.stratum_top(d.limit(0), ["s"], curate.seeded("z", "id"), 7).count() == 0
 
 
@@ -98,8 +109,14 @@ def test_stats(spark):
     low, high = stats.wilson(F.lit(5), F.lit(10))
     x = spark.range(1).select(low.alias("a"), high.alias("b")).first()
     assert (x.a, x.b) == (0.236593, 0.763407)
-    b = stats.bootstrap(spark.range(200).withColumn("v", F.col("id").cast("double")), "v", 200).first()
-    assert b.mean == 99.5 and b.low < 99.5 < b.high
+    v = spark.range(200).withColumn("v", F.col("id").cast("double"))
+    b = stats.bootstrap(v, "v", ["id"], 400).first()
+    assert b.mean == 99.5 and b.low < 99.5 < b.high and 6 < (b.high - b.low) / 2 < 10  # 1.96 * 57.7 / sqrt(200) = 8
+    assert stats.bootstrap(v.repartition(7), "v", ["id"], 400).first() == b and stats.bootstrap(v.limit(0), "v", ["id"], 9).first().n == 0
+    gain = stats.paired_bootstrap(v, v.withColumn("v", F.col("v") + 2), "id", "v", 50).first()
+    assert (gain.n, gain.mean, gain.low, gain.high) == (200, 2.0, 2.0, 2.0)
+    far = spark.range(500).select(F.lit(1).alias("g"), (F.col("id") + 1e9).alias("x"), (2 * F.col("id") + 1e9).alias("y"), F.lit(5.0).alias("z"))
+    assert stats.pearson(far, "x", "y", ["g"]).first().r == 1.0 and stats.pearson(far, "x", "z", ["g"]).first().r is None
 
 
 def test_telemetry(spark):
