@@ -36,7 +36,7 @@ def scalar_tag(value_json: Column) -> Column:
 def json_in(text: Column) -> Column:
     """The JSON array or object that a text holds between its first opening and last closing bracket; null if it isn't valid."""
     found = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)(\[.*\]|\{.*\})", 1)
-    return F.when((found != "") & F.try_parse_json(found).isNotNull(), found)
+    return F.when((found != "") & F.try_parse_json(F.concat(F.lit('{"x":'), found, F.lit("}"))).isNotNull(), found)  # wrapped, as the parser stops after a first value
 
 
 def structural_key(*parts: Column) -> Column:
