@@ -25,6 +25,11 @@ def add(name: str, fn: Query, sql: str | None = None) -> None:
     _Q[name] = (fn, sql)
 
 
+def state(name: str, sql: str) -> None:
+    """Give a query the SQL that must agree with it."""
+    _Q[name] = (_Q[name][0], sql)
+
+
 # --- plans: scans, filters, joins, metrics, having, top-k -------------------------------------------------------------
 _GEO = (Join("supplier", "l_suppkey", "s_suppkey"), Join("nation", "s_nationkey", "n_nationkey"), Join("region", "n_regionkey", "r_regionkey"))
 _LINES = "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
