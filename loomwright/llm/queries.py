@@ -28,6 +28,34 @@ def queries() -> dict:
     }
 
 
+_FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)).replace("'", "''") + "\u3000"
+_HALF = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''") + " "
+
+
+def _narrow(x: str) -> str:
+    return f"replace(replace(lower(translate({x}, '{_FULL}', '{_HALF}')), '\u2265', '>='), '\u2264', '<=')"
+
+
+def _keep(x: str, signs: str) -> str:
+    """Letters, digits, decimal points and signs; an '=' only after a comparison sign. RE2 has no look-around, so marks stand in."""
+    dots = f"regexp_replace(regexp_replace({x}, '([0-9])\\.([0-9])', '\\1\ue000\\2', 'g'), '([0-9])\\.([0-9])', '\\1\ue000\\2', 'g')"
+    kept = f"regexp_replace({dots}, '[^\\pL\\pN\ue000{signs}]+', '', 'g')"
+    return f"replace(replace(regexp_replace({kept}, '([<>!])=', '\\1\ue003', 'g'), '=', ''), '\ue003', '=')"
+
+
+_FIELD = r"^[^\pL\pN]*\pL[\pL\pN _\x{00a0}\x{2003}\t]{0,24}?\s*[=:].*[\pL\pN]"
+_HEAD = "split_part(replace(p, '=', ':'), ':', 1)"
+_ONE = f"{_keep(_HEAD, '<>=')} || '\ue002' || {_keep(f'substr(p, length({_HEAD}) + 2)', '<>=')}"
+_SIGNS = "<>=!*/+%\ue001"
+_COPIES = f"""WITH t AS (SELECT task_no AS id, {_narrow('natural_language_instruction')} AS t FROM task WHERE task_no IS NOT NULL),
+u AS (SELECT id, t, list_filter(regexp_split_to_array(regexp_replace(t, '(?m)^[ \t]*[-*#>]+[ \t]+', '', 'g'), '[;,/|\u3001\n\r\u3002]+'), lambda p: regexp_matches(p, '[\\pL\\pN]')) AS ps FROM t),
+k AS (SELECT 'task' AS table_name, id, CASE WHEN length(t) - length(replace(replace(t, '=', ''), ':', '')) >= 2 AND len(ps) >= 2 AND len(list_filter(ps, lambda p: NOT regexp_matches(p, '{_FIELD}'))) = 0 THEN array_to_string(list_sort(list_transform(ps, lambda p: {_ONE})), '\ue002') ELSE {_keep('t', '<>=')} END AS key FROM u
+UNION ALL SELECT 'training_record', id, array_to_string(list_sort(list_transform(string_split(cols, '\ue002'), lambda c: {_keep('c', _SIGNS)})), '\ue002') || '\ue002' || {_keep('rest', _SIGNS)} FROM (SELECT id, CASE WHEN h <> '' THEN regexp_replace(q, '^\\W*select .*? from ', '') ELSE q END AS rest, list_reduce(string_split(h, ','), lambda a, x: a || CASE WHEN length(replace(a, ')', '')) > length(replace(a, '(', '')) THEN '\ue001' ELSE '\ue002' END || x) AS cols
+FROM (SELECT id, q, regexp_extract(q, '^\\W*select (.*?) from ', 1) AS h FROM (SELECT record_id AS id, regexp_replace({_narrow('reward_model.ground_truth.verification_sql')}, '\\s+', ' ', 'g') AS q FROM training_record WHERE record_id IS NOT NULL)))),
+g AS (SELECT table_name, key, min(id) AS id_low, count(DISTINCT id) AS n_copies FROM k WHERE length(key) > 1 GROUP BY 1, 2)"""
+_PAIRS = f"{_COPIES} SELECT DISTINCT table_name, id_low, id AS id_high FROM k JOIN g USING (table_name, key) WHERE id > id_low"
+
+
 def oracle_sql() -> dict[str, str]:
-    """None yet: these operators are tested against brute force in tests/llm."""
-    return {}
+    """Of the operators that SQL can state; the others are tested against brute force in tests/llm."""
+    return {"p4_found": _PAIRS, "p4_hot": _PAIRS, "p4_counts": f"{_COPIES} SELECT table_name, id_low, n_copies FROM g"}
