@@ -24,6 +24,7 @@ def queries() -> dict:
         "p7_shares": mixture.p7_shares,
         "p7_shards": mixture.p7_shards,
         "p8_grades": reading_level.p8_grades,
+        "p8_error": reading_level.p8_error,
         "p8_profile": reading_level.p8_profile,
     }
 

@@ -222,19 +222,22 @@ def test_plain_tokens():
 def test_mixture_keeps_quotas_and_caps(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1500, "big").when(F.col("id") < 1520, "small").when(F.col("id") < 1530, None).otherwise("other").alias("source"), (F.col("id") % 17).alias("tokens"))
     target = spark.createDataFrame([("m", "big", 0.5, 2, 0.5), ("m", "small", 0.4, 3, 0.5), ("m", "none", 0.1, 3, 0.5), ("m", "other", None, 3, 0.5), ("m", None, 0.1, 3, 0.5), ("z", "big", 0.0, 3, 0.5)], "mix_name string, source string, target_share double, max_repeats int, budget_factor double")
-    chosen, placed = (x.cache() for x in mixture.mixed(docs, target))
+    chosen, placed, _ = (x.cache() for x in mixture.mixed(docs, target))
     corpus = docs.agg(F.sum("tokens")).first()[0]
     got = {r.source: (r.t, r.u) for r in chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("t"), F.max("uses").alias("u")).collect()}
     assert 0 <= 0.25 * corpus - got["big"][0] <= 17 and got["big"][1] == 1
     small = docs.where("source = 'small'").agg(F.sum("tokens")).first()[0]
     assert got["small"] == (3 * small, 3)  # asked for more than its cap
+    assert placed.where("shard < 0 or shard >= 64").count() == 0
+    per = [r["count"] for r in placed.groupBy("shard").count().collect()]
+    assert len(per) == 64 and max(per) < 8 * min(per)  # equal units of some three documents
     assert placed.count() == chosen.agg(F.sum("uses")).first()[0] == placed.select("doc_id", "pass").distinct().count()
 
 
 def test_empty_corpora(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string, lang string, tokens long")
     target = spark.createDataFrame([("m", "a", 1.0, 1, 1.0)], "mix_name string, source string, target_share double, max_repeats int, budget_factor double")
-    assert [x.count() for x in mixture.mixed(docs, target)] == [0, 0]
+    assert [x.count() for x in mixture.mixed(docs, target)] == [0, 0, 0]
     assert mixture.token_counts(docs).count() == 0
     labels = spark.createDataFrame([(1, "a", 3)], "doc_id long, rater string, grade int")
     assert reading_level.graded(docs, labels).count() == 0
@@ -277,7 +280,7 @@ def test_coverage_rank_equals_brute_force(spark):
     for i, t in enumerate(texts):
         r = sorted(rank[w] for w in reading_level.words(t))
         by_hand[i] = r[int(np.ceil(0.92 * len(r))) - 1]
-    for most in (10**6, 1):
+    for most in (10**6, 6, 3, 1):
         assert {r.doc_id: r.coverage_rank for r in reading_level.features(docs, vocab, most).collect()} == by_hand
 
 
