@@ -25,6 +25,8 @@ def scratch_root(spark: SparkSession) -> str:
         if held.isDefined():
             root = held.get()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="loomwright-")
@@ -41,17 +43,23 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, removed when the session's process ends."""
+    path = f"{scratch_root(spark)}/{name}"
+    if not _SCRATCH:
+        atexit.register(lambda: [_remove(spark, p) for _, p in list(_SCRATCH)])
+    _SCRATCH.add((os.getpid(), path))
+    return path
+
+
 def written(df: DataFrame, label: str = "step") -> DataFrame:
     """Cut lineage by writing df once to the shared folder and reading it back.
 
     Unlike checkpoint() this computes df a single time, and unlike localCheckpoint the copy outlives any executor.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, f"{label}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    if not _SCRATCH:
-        atexit.register(lambda: [_remove(spark, p) for _, p in list(_SCRATCH)])
-    _SCRATCH.add((os.getpid(), path))
     return spark.read.schema(df.schema).parquet(path)
 
 
