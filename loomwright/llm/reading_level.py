@@ -25,13 +25,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import table, written
+from ..session import maybe_broadcast, table, written
 
 #: Share of a document's words that its vocabulary must cover.
 COVER = 0.92
 #: The most frequent words, whose ranks are sent to the executors (12 bytes each); others are joined by shuffle, for the
 #: documents that need them.
 MOST_WORDS = 2_000_000
+#: Repeated ids that may be broadcast; more are joined by shuffle.
+MOST_IDS = 500_000
 #: Counts up to this share few ranks.
 SMALL_COUNT = 1_000
 LEAST_LABELS = 30
@@ -89,6 +91,16 @@ def _head(vocab: DataFrame, most_words: int) -> tuple[int | None, pd.DataFrame]:
     return least, vocab.where(F.col("n") >= F.lit(least if least is not None else 1 << 62)).select("word", "rank").toPandas()
 
 
+def one_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): the least text of each document; only the texts of repeated ids are shuffled."""
+    d = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    repeated = written(d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "p8-repeated")
+    if repeated.isEmpty():
+        return d
+    ids = maybe_broadcast(repeated, MOST_IDS)
+    return d.join(ids, "doc_id", "left_anti").unionByName(d.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+
+
 _PARTS = "doc_id long, han boolean, words int, coverage_rank int, need int, tail array<struct<word: string, n: int>>, x2 double, x3 double, x4 double"
 
 
@@ -98,7 +110,7 @@ def features(docs: DataFrame, vocab: DataFrame, most_words: int = MOST_WORDS) ->
     A document that the most frequent words cover is done where it is read. Only of others are the further words joined to
     their ranks; none of these is frequent, so no key of that join is hot.
     """
-    src = docs.select("doc_id", "text").where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
+    src = one_text(docs)
     least, v = _head(vocab, most_words)
     salt = 0
     while True:  # codes must tell the words apart
