@@ -13,6 +13,7 @@ def queries() -> dict:
         "p2_found": answer_defects.p2_found,
         "p2_clauses": answer_defects.p2_clauses,
         "p3_found": cut_texts.p3_found,
+        "p3_evidence": cut_texts.p3_evidence,
         "p3_shares": cut_texts.p3_shares,
         "p4_found": layout_copies.p4_found,
         "p4_hot": layout_copies.p4_hot,
