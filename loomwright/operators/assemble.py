@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .curate import ranked
+
 
 def as_strings(value_json: Column) -> Column:
     """ARRAY<STRING> of a JSON value that is a list or a single value; null and empty give an empty array."""
@@ -83,7 +85,7 @@ def host_ranges(df: DataFrame, level: str, order: Column, quotas: DataFrame) ->
     q = quotas.withColumn("_hi", F.sum("quota").over(W.partitionBy(level).orderBy("host"))).withColumn("_lo", F.col("_hi") - F.col("quota"))
     most = F.broadcast(q.groupBy(F.col(level).alias("_l")).agg(F.max("_hi").alias("_most")))
     d = df.join(most, F.col(level) == F.col("_l"))
-    r = d.withColumn("_n", F.row_number().over(W.partitionBy(level).orderBy(order))).where(F.col("_n") <= F.col("_most")).drop("_l", "_most")
+    r = ranked(d.drop("_l"), level, order, "_n").where(F.col("_n") <= F.col("_most")).drop("_most")
     on = (F.col(level) == F.col("_q")) & (F.col("_n") > F.col("_lo")) & (F.col("_n") <= F.col("_hi"))
     return r.join(F.broadcast(q.select(F.col(level).alias("_q"), "host", "_lo", "_hi")), on).drop("_q", "_n", "_lo", "_hi")
 

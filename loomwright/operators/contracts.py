@@ -18,7 +18,8 @@ from . import scoring
 def signals(trajectories: DataFrame, records: DataFrame) -> DataFrame:
     """One row a trajectory: counts of its events and statements, its answer's numbers, and its record's ground truth."""
     g = records.select(F.col("record_id").alias("_r"), F.col("reward_model.ground_truth").alias("g")).where("_r is not null").dropDuplicates(["_r"])
-    t = trajectories.join(g, trajectories.record_id == F.col("_r"), "left").drop("_r")
+    own = trajectories.select("trajectory_id", "record_id", "sample_index", "final_answer", "runtime_error", "trajectory_timeout", "pi_tool_events")  # extra columns may clash
+    t = own.join(g, own.record_id == F.col("_r"), "left").drop("_r")
     ev = F.coalesce("pi_tool_events", F.array().cast(trajectories.schema["pi_tool_events"].dataType))
     said = F.filter(F.flatten(F.transform(ev, lambda e: F.coalesce(e["sql_statements"], F.array().cast("array<string>")))), lambda q: q.isNotNull())
     tried = lambda e: F.coalesce(F.size(e["sql_statements"]), F.lit(0)) > 0

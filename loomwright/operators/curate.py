@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import maybe_broadcast
+
 
 def identity(given: Column, text: Column) -> Column:
     """The given hash, or SHA-256 of the text where it is null or blank."""
@@ -81,12 +83,31 @@ def stratum_top(df: DataFrame, stratum: list[str], order: Column, k: int) -> Dat
     return near.withColumn("rank", rn).where(F.col("rank") <= k).drop("_o", "_p", "_edge", *(f"_s{i}" for i in range(len(stratum))))
 
 
+def ranked(df: DataFrame, stratum: str | None, order: Column, name: str, ties: list[str] | None = None) -> DataFrame:
+    """df with the rank of each row in its stratum (or in all rows) by a hex hash, without a window over whole strata.
+
+    Rows are ranked inside ranges of hash prefixes, and offset by the counts of the ranges before, which are a few thousand
+    rows a stratum. Nulls are a stratum of their own.
+    """
+    s = F.col(stratum) if stratum else F.lit(0)
+    d = df.withColumns({"_s": s, "_o": order}).withColumn("_p", F.left("_o", F.lit(3)))
+    n = d.groupBy("_s", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    n = n.select(F.col("_s").alias("_s2"), F.col("_p").alias("_p2"), (F.sum("_n").over(W.partitionBy("_s").orderBy("_p").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")).alias("_before"))
+    j = d.join(maybe_broadcast(n, 500_000), F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_p") == F.col("_p2")))
+    within = F.row_number().over(W.partitionBy("_s", "_p").orderBy("_o", *(ties or [])))
+    return j.withColumn(name, F.col("_before") + within).drop("_s", "_o", "_p", "_s2", "_p2", "_before")
+
+
 def round_robin(df: DataFrame, stratum: str, order: Column) -> DataFrame:
-    """df with place: the first of each stratum in stratum order, then the second of each, and so on."""
-    d = df.withColumn("_rn", F.row_number().over(W.partitionBy(stratum).orderBy(order)))
-    per = d.groupBy("_rn").agg(F.count(F.lit(1)).alias("_n"))
-    before = per.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_rn").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return d.join(before, "_rn").withColumn("place", (F.col("_before") + F.row_number().over(W.partitionBy("_rn").orderBy(stratum))).cast("bigint")).drop("_rn", "_before")
+    """df with place: the first of each stratum in stratum order, then the second of each, and so on.
+
+    A place follows from the row's rank and the sizes of all strata, which are few: one array, no window over ranks.
+    """
+    d = ranked(df, stratum, order, "_rn")
+    sizes = df.groupBy(F.col(stratum).alias("s")).agg(F.count(F.lit(1)).alias("n")).agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("_all"))  # a row a stratum
+    before = F.aggregate("_all", F.lit(0).cast("bigint"), lambda a, x: a + F.least(x["n"], F.col("_rn") - 1))
+    own = F.size(F.filter("_all", lambda x: (x["s"] <= F.col(stratum)) & (x["n"] >= F.col("_rn"))))
+    return d.crossJoin(F.broadcast(sizes)).withColumn("place", before + own).drop("_rn", "_all")  # one row beside each
 
 
 def hamilton(counts: DataFrame, stratum: str, n: str, seats: int) -> DataFrame:
@@ -103,13 +124,13 @@ def split_by_quota(df: DataFrame, quotas: DataFrame, stratum: str, order: Column
     """df with split 'train' for the first `quota` rows of each stratum in seeded order, else 'test'."""
     q = F.broadcast(quotas.select(F.col(stratum).alias("_s"), "quota"))  # one row a stratum
     d = df.join(q, F.col(stratum).eqNullSafe(F.col("_s")), "left")
-    rn = F.row_number().over(W.partitionBy(stratum).orderBy(order))
-    return d.withColumn("split", F.when(rn <= F.coalesce("quota", F.lit(0)), "train").otherwise("test")).drop("_s", "quota")
+    r = ranked(d.drop("_s"), stratum, order, "_rank")
+    return r.withColumn("split", F.when(F.col("_rank") <= F.coalesce("quota", F.lit(0)), "train").otherwise("test")).drop("quota", "_rank")
 
 
 def interleaved(df: DataFrame, band: str, order: Column) -> DataFrame:
     """df with (turn, band): the order of strict interleaving."""
-    return df.withColumn("turn", F.row_number().over(W.partitionBy(band).orderBy(order)))
+    return ranked(df, band, order, "turn").withColumn("turn", F.col("turn").cast("int"))
 
 
 def exposures(df: DataFrame, key: str, times: int, seed: str) -> DataFrame:
@@ -126,15 +147,8 @@ def quota_then_fill(df: DataFrame, first: list[str], k1: int, second: list[str],
 
 
 def halves(df: DataFrame, order: Column, key: str) -> DataFrame:
-    """df with half 0 or 1, equal in size but for one row, in seeded order: a rank inside hash ranges, offset by their counts.
-
-    The ranges are so many that none holds much; their counts, one row a range, are all that one task sees.
-    """
-    d = df.withColumn("_o", order).withColumn("_b", F.left("_o", F.lit(3)))
-    n = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    n = n.select("_b", (F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")).alias("_before"))  # at most 4096 rows
-    r = d.join(F.broadcast(n), "_b").withColumn("_r", F.col("_before") + F.row_number().over(W.partitionBy("_b").orderBy("_o", key)))
-    return r.withColumn("half", ((F.col("_r") - 1) % 2).cast("int")).drop("_o", "_b", "_before", "_r")
+    """df with half 0 or 1, equal in size but for one row, in seeded order."""
+    return ranked(df, None, order, "_rank", [key]).withColumn("half", ((F.col("_rank") - 1) % 2).cast("int")).drop("_rank")
 
 
 def fingerprint(df: DataFrame, ident: Column) -> DataFrame:

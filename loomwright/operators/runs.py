@@ -6,8 +6,11 @@ Empty inputs give empty results. What must be sequential (greedy balancing over
 from __future__ import annotations
 
 import ast
+import base64
 import operator
+import os
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +22,19 @@ from ..functions import text as tx
 from .telemetry import plain_lines
 
 
+# fixed value: the public split pattern of byte-level vocabularies
+_SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@lru_cache(1)
+def _encoder(path: str):
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("file", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
 def run_summary(contract: DataFrame, rows: DataFrame, log: DataFrame, markers: DataFrame, run: str = "run_id") -> DataFrame:
     """(run_id, expected, rows, errors, log_lines, error_lines, finished): a run directory's parts side by side.
 
@@ -190,17 +206,16 @@ def manifest(parts: dict[str, DataFrame], key: str) -> tuple[DataFrame, DataFram
 
 
 def token_count(vocabulary: str | None) -> Callable[[Column], Column]:
-    """Bytes of a text over the mean bytes a token of a vocabulary file; without a file every count is null: it fails closed."""
-    import os
-
+    """Tokens of a text by the byte-level vocabulary in a file of (base64 token, rank) lines; null without it: it fails closed."""
     if not vocabulary or not os.path.exists(vocabulary):
         return lambda text: F.lit(None).cast("int")
-    with open(vocabulary, "rb") as f:
-        import base64
 
-        sizes = [len(base64.b64decode(line.split()[0])) for line in f]
-    mean = sum(sizes) / len(sizes)
-    return lambda text: F.ceil(F.octet_length(text) / F.lit(mean)).cast("int")
+    @F.pandas_udf(T.IntegerType())
+    def count(texts: pd.Series) -> pd.Series:
+        enc = _encoder(vocabulary)
+        return pd.Series([None if t is None else len(enc.encode_ordinary(t)) for t in texts], dtype="Int32")
+
+    return count
 
 
 def inline_values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

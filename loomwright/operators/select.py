@@ -10,9 +10,10 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .curate import stratum_top
+
 #: Group sizes the driver takes for a greedy assignment.
 MOST_GROUPS = 1_000_000
 
@@ -34,7 +35,8 @@ def pools(df: DataFrame, key: str, rules: list[tuple[str, Column, int]], order:
     pool = reduce(lambda c, r: c.when(r[1], r[0]), rules[1:], F.when(rules[0][1], rules[0][0]))
     quota = reduce(lambda c, r: c.when(r[1], r[2]), rules[1:], F.when(rules[0][1], rules[0][2]))
     d = df.withColumn("pool", pool).withColumn("_q", quota).where("pool is not null")
-    return d.withColumn("place", F.row_number().over(W.partitionBy("pool").orderBy(order, key))).where(F.col("place") <= F.col("_q")).drop("_q")
+    top = stratum_top(d, ["pool"], order, max(r[2] for r in rules))  # a pool may be the rest of the table: only its first rows are ranked
+    return top.where(F.col("rank") <= F.col("_q")).withColumnRenamed("rank", "place").drop("_q")
 
 
 def in_order(df: DataFrame, key: str, wanted: list) -> DataFrame:

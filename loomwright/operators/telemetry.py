@@ -13,18 +13,16 @@ def plain_lines(df: DataFrame, line: str = "value") -> DataFrame:
     return df.withColumn(line, F.regexp_replace(line, _ANSI, ""))
 
 
-def metric_map(line: Column, prefix: str = "") -> Column:
-    """MAP<STRING, DOUBLE> of the `key:number` pairs of a line whose key begins with prefix; of repeated keys the last counts."""
-    pair = rf"({prefix}[A-Za-z_][\w/.\-]*)\s*:\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)(?![\w:])"
-    entries = F.zip_with(F.regexp_extract_all(line, F.lit(pair), F.lit(1)), F.regexp_extract_all(line, F.lit(pair), F.lit(2)), lambda k, v: F.struct(k.alias("k"), v.try_cast("double").alias("v")))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"]))
+def metric_pairs(line: Column, prefix: str = "") -> Column:
+    """ARRAY<STRING> of the `key:number` pairs of a line whose key begins with prefix, in order: one pass over the line."""
+    return F.regexp_extract_all(line, F.lit(rf"({prefix}[A-Za-z_][\w/.\-]*\s*:\s*[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)(?![\w:])"), F.lit(1))
 
 
 def step_metrics(df: DataFrame, line: str, order: str) -> DataFrame:
-    """(step, metric, value): the last value of each metric of each step, in line order."""
-    d = df.select(order, F.explode(metric_map(F.col(line))).alias("metric", "value"), F.regexp_extract(line, r"\bstep:(\d+)", 1).try_cast("bigint").alias("step"))
-    return d.where("step is not null and metric <> 'step'").groupBy("step", "metric").agg(F.max_by("value", order).alias("value"))
+    """(step, metric, value): the last value of each metric of each step, in line order and then in the line's."""
+    d = df.select(order, F.posexplode(metric_pairs(F.col(line))).alias("_p", "_pair"), F.regexp_extract(line, r"\bstep:(\d+)", 1).try_cast("bigint").alias("step")).where("step is not null")
+    d = d.select(order, "_p", "step", F.trim(F.substring_index("_pair", ":", 1)).alias("metric"), F.trim(F.substring_index("_pair", ":", -1)).try_cast("double").alias("value"))
+    return d.where("metric <> 'step'").groupBy("step", "metric").agg(F.max_by("value", F.struct(order, "_p")).alias("value"))
 
 
 def last_counters(df: DataFrame, engine: str, ts: str, hits: str, queries: str) -> DataFrame:

@@ -130,13 +130,13 @@ def over(fn: Callable[[DataFrame], DataFrame]) -> Query:
 add("group_histogram", lambda s, d: groups.histogram(table(s, d, "training_record"), "data_source"), "SELECT data_source, count(*) AS n FROM training_record GROUP BY 1")
 add(
     "group_task_buckets",
-    over(lambda x: groups.task_buckets(x.where("k < 5"), "task", "correct", "timeout", "error")),
-    f"WITH s AS ({_S}), g AS (SELECT task, count(*) samples, CAST(sum(correct::INT) AS BIGINT) correct, CAST(sum(timeout::INT) AS BIGINT) timeouts, CAST(sum(error::INT) AS BIGINT) errors FROM s WHERE k < 5 GROUP BY 1) SELECT *, CASE WHEN errors > 0 THEN 'runtime_error' WHEN timeouts > 0 THEN 'timed_out' WHEN correct = 0 THEN 'all_wrong' WHEN correct >= samples THEN 'all_correct' ELSE 'mixed' END AS bucket FROM g",
+    over(lambda x: groups.task_buckets(x, "task", "correct", "timeout", "error")),
+    f"WITH s AS ({_S}), g AS (SELECT task, count(*) samples, CAST(sum(correct::INT) AS BIGINT) correct, CAST(sum(timeout::INT) AS BIGINT) timeouts, CAST(sum(error::INT) AS BIGINT) errors FROM s GROUP BY 1) SELECT *, CASE WHEN errors > 0 THEN 'runtime_error' WHEN timeouts > 0 THEN 'timed_out' WHEN correct = 0 THEN 'all_wrong' WHEN correct >= samples THEN 'all_correct' ELSE 'mixed' END AS bucket FROM g",
 )
 add(
     "group_task_buckets_strict",
-    over(lambda x: groups.task_buckets(x.where("k < 5"), "task", "correct", "timeout", "error", strict=True).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))),
-    f"WITH s AS ({_S}), g AS (SELECT task, count(*) samples, sum(correct::INT) correct, sum(error::INT) errors FROM s WHERE k < 5 GROUP BY 1) SELECT CASE WHEN errors > 0 THEN 'runtime_error' WHEN correct = 0 THEN 'all_wrong' WHEN correct >= samples THEN 'all_correct' ELSE 'mixed' END AS bucket, count(*) AS n FROM g GROUP BY 1",
+    over(lambda x: groups.task_buckets(x, "task", "correct", "timeout", "error", strict=True).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))),
+    f"WITH s AS ({_S}), g AS (SELECT task, count(*) samples, sum(correct::INT) correct, sum(error::INT) errors FROM s GROUP BY 1) SELECT CASE WHEN errors > 0 THEN 'runtime_error' WHEN correct = 0 THEN 'all_wrong' WHEN correct >= samples THEN 'all_correct' ELSE 'mixed' END AS bucket, count(*) AS n FROM g GROUP BY 1",
 )
 add(
     "group_margins",
@@ -145,8 +145,8 @@ add(
 )
 add(
     "group_gate",
-    over(lambda x: groups.group_gate(x.where("step <= 2").withColumn("eligible", ~F.col("error")), "task", "correct", "eligible", "step", 2)),
-    f"WITH s AS ({_S}), g AS (SELECT task, count(*) n, min((NOT error)::INT) e, count(DISTINCT step) v, min(correct::INT) lo, max(correct::INT) hi FROM s WHERE step <= 2 GROUP BY 1) SELECT task, n, CASE WHEN n <> 2 THEN 'wrong_size' WHEN e = 0 THEN 'ineligible' WHEN v <> 1 THEN 'mixed_versions' WHEN lo = hi THEN 'no_contrast' ELSE 'active' END AS state FROM g",
+    over(lambda x: groups.group_gate(x.withColumn("eligible", ~F.col("error")), "task", "correct", "eligible", "step", 2)),
+    f"WITH s AS ({_S}), g AS (SELECT task, count(*) n, min((NOT error)::INT) e, count(DISTINCT step) v, min(correct::INT) lo, max(correct::INT) hi FROM s GROUP BY 1) SELECT task, n, CASE WHEN n <> 2 THEN 'wrong_size' WHEN e = 0 THEN 'ineligible' WHEN v <> 1 THEN 'mixed_versions' WHEN lo = hi THEN 'no_contrast' ELSE 'active' END AS state FROM g",
 )
 add(
     "window_advantages",
@@ -194,8 +194,8 @@ add(
 )
 add(
     "group_zero_filled",
-    over(lambda x: groups.zero_filled(x.where("step = 1").groupBy("task").agg(F.sum(F.col("correct").cast("int")).alias("c")), "c", 8)),
-    f"WITH s AS ({_S}), h AS (SELECT CAST(sum(correct::INT) AS BIGINT) c FROM s WHERE step = 1 GROUP BY task) SELECT r.v AS value, count(h.c) AS n FROM (SELECT CAST(range AS BIGINT) v FROM range(9)) r LEFT JOIN h ON h.c = r.v GROUP BY 1",
+    over(lambda x: groups.zero_filled(x.groupBy("task").agg(F.sum(F.col("correct").cast("int")).alias("c")), "c", 8)),
+    f"WITH s AS ({_S}), h AS (SELECT CAST(sum(correct::INT) AS BIGINT) c FROM s GROUP BY task) SELECT r.v AS value, count(h.c) AS n FROM (SELECT CAST(range AS BIGINT) v FROM range(9)) r LEFT JOIN h ON h.c = r.v GROUP BY 1",
 )
 add(
     "group_confusion",
@@ -204,8 +204,8 @@ add(
 )
 add(
     "group_set_transition",
-    over(lambda x: groups.set_transition(x.groupBy("task").agg(F.min("event_type").alias("source")), x.where("step <= 3 and correct"), x.where("step between 4 and 6 and correct"), "task", "source")),
-    f"WITH s AS ({_S}), u AS (SELECT task, min(event_type) source FROM s GROUP BY 1), b AS (SELECT DISTINCT task, 1 x FROM s WHERE step <= 3 AND correct), a AS (SELECT DISTINCT task, 1 x FROM s WHERE step BETWEEN 4 AND 6 AND correct) SELECT source, count(*) FILTER (WHERE b.x = 1 AND a.x = 1) AS retained, count(*) FILTER (WHERE b.x = 1 AND a.x IS NULL) AS lost, count(*) FILTER (WHERE b.x IS NULL AND a.x = 1) AS gained, count(*) FILTER (WHERE b.x IS NULL AND a.x IS NULL) AS neither FROM u LEFT JOIN b USING (task) LEFT JOIN a USING (task) GROUP BY 1",
+    over(lambda x: groups.set_transition(x.groupBy("task").agg(F.min("event_type").alias("source")), x.where("step <= 15 and correct"), x.where("step > 15 and correct"), "task", "source")),
+    f"WITH s AS ({_S}), u AS (SELECT task, min(event_type) source FROM s GROUP BY 1), b AS (SELECT DISTINCT task, 1 x FROM s WHERE step <= 15 AND correct), a AS (SELECT DISTINCT task, 1 x FROM s WHERE step > 15 AND correct) SELECT source, count(*) FILTER (WHERE b.x = 1 AND a.x = 1) AS retained, count(*) FILTER (WHERE b.x = 1 AND a.x IS NULL) AS lost, count(*) FILTER (WHERE b.x IS NULL AND a.x = 1) AS gained, count(*) FILTER (WHERE b.x IS NULL AND a.x IS NULL) AS neither FROM u LEFT JOIN b USING (task) LEFT JOIN a USING (task) GROUP BY 1",
 )
 add(
     "group_conflicts",
@@ -320,8 +320,8 @@ add(
 )
 add(
     "curate_interleaved",
-    lambda s, d: curate.interleaved(table(s, d, "task").select("task_no", "task_id", "difficulty_level").where("difficulty_level is not null"), "difficulty_level", curate.seeded("i", "task_id")).where("turn <= 10").select("task_no", "difficulty_level", "turn"),
-    "SELECT * FROM (SELECT task_no, difficulty_level, CAST(row_number() OVER (PARTITION BY difficulty_level ORDER BY sha256('i:' || task_id)) AS INTEGER) AS turn FROM task WHERE difficulty_level IS NOT NULL) WHERE turn <= 10",
+    lambda s, d: curate.interleaved(table(s, d, "task").select("task_no", "task_id", "difficulty_level").where("difficulty_level is not null"), "difficulty_level", curate.seeded("i", "task_id")).select("task_no", "difficulty_level", "turn"),
+    "SELECT * FROM (SELECT task_no, difficulty_level, CAST(row_number() OVER (PARTITION BY difficulty_level ORDER BY sha256('i:' || task_id)) AS INTEGER) AS turn FROM task WHERE difficulty_level IS NOT NULL)",
 )
 _WORDS = [f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)" for i in range(8)]
 add(
@@ -612,8 +612,8 @@ add("select_assign_groups", lambda s, d: select.assign_groups(table(s, d, "train
 add("select_diverse", lambda s, d: select.diverse(table(s, d, "source_spec").select("label", "split"), "label", ["split"], 6, "label").select("label", "split", "turn"), "SELECT label, split, CAST(t AS INTEGER) AS turn FROM (SELECT label, split, row_number() OVER (ORDER BY rn, label) t FROM (SELECT label, split, row_number() OVER (PARTITION BY split ORDER BY label) rn FROM source_spec)) WHERE t <= 6")
 add(
     "set_disjoint_union",
-    lambda s, d: select.disjoint_union({"first": table(s, d, "task").where("task_no % 2 = 0").select("task_id"), "second": table(s, d, "task").where("task_no % 3 = 0").select("task_id")}, "task_id")[1],
-    "SELECT task_id, CAST(2 AS BIGINT) AS parts FROM task WHERE task_no % 6 = 0",
+    lambda s, d: select.disjoint_union({"task": table(s, d, "task").select("task_id"), "record": table(s, d, "training_record").select(F.col("reward_model.ground_truth.task_id").alias("task_id")), "chat": table(s, d, "chat_log").select("task_id")}, "task_id")[1],
+    "SELECT task_id, count(DISTINCT part) AS parts FROM (SELECT task_id, 1 AS part FROM task UNION ALL SELECT reward_model.ground_truth.task_id, 2 FROM training_record UNION ALL SELECT task_id, 3 FROM chat_log) GROUP BY 1 HAVING count(DISTINCT part) > 1",
 )
 
 # --- further analytics ------------------------------------------------------------------------------------------------
@@ -643,8 +643,8 @@ add(
 add("more_previous_month", lambda s, d: table(s, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month")).distinct().select("month", more.previous_month(F.col("month")).alias("previous")), "SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month, strftime(CAST(date_trunc('month', o_orderdate) AS DATE) - INTERVAL 1 MONTH, '%Y-%m') AS previous FROM orders")
 add(
     "more_filled_targets",
-    lambda s, d: more.filled_targets(table(s, d, "carriers"), table(s, d, "shipments").where("status = 'withdrawn'"), "carrier_id", F.col("delivery_hours") > 60, "delivery_hours"),
-    "SELECT c.carrier_id, count(*) FILTER (WHERE s.delivery_hours > 60) AS n, round(quantile_cont(s.delivery_hours, 0.5) FILTER (WHERE s.delivery_hours > 60), 6) AS median, CASE WHEN count(s.shipment_id) = 0 THEN 'missing' WHEN count(*) FILTER (WHERE s.delivery_hours > 60) = 0 THEN 'invalid' ELSE 'ok' END AS status FROM carriers c LEFT JOIN (SELECT * FROM shipments WHERE status = 'withdrawn') s ON s.carrier_id = c.carrier_id GROUP BY 1",
+    lambda s, d: more.filled_targets(table(s, d, "carriers"), table(s, d, "shipments"), "carrier_id", F.col("delivery_hours") > 60, "delivery_hours"),
+    "SELECT c.carrier_id, count(*) FILTER (WHERE s.delivery_hours > 60) AS n, round(quantile_cont(s.delivery_hours, 0.5) FILTER (WHERE s.delivery_hours > 60), 6) AS median, CASE WHEN count(s.shipment_id) = 0 THEN 'missing' WHEN count(*) FILTER (WHERE s.delivery_hours > 60) = 0 THEN 'invalid' ELSE 'ok' END AS status FROM carriers c LEFT JOIN shipments s ON s.carrier_id = c.carrier_id GROUP BY 1",
 )
 add(
     "more_unknown_seconds",

@@ -223,7 +223,7 @@ add(
 )
 
 # --- small functions over whole tables --------------------------------------------------------------------------------
-add("text_token_counts_closed", lambda s, d: table(s, d, "trajectory").select("trajectory_id", runs.token_count(None)(F.col("final_answer")).alias("tokens")), "SELECT trajectory_id, CAST(NULL AS INTEGER) AS tokens FROM trajectory")
+add("text_token_counts", lambda s, d: table(s, d, "trajectory").select("trajectory_id", runs.token_count(s.conf.get("spark.loomwright.tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken"))(F.col("final_answer")).alias("tokens")))
 add("text_folded", lambda s, d: table(s, d, "customers").select("customer_id", tx.folded(F.col("customer_name")).alias("folded")), r"SELECT customer_id, lower(trim(regexp_replace(regexp_replace(trim(customer_name, ' '), '^[`*_~\"'']+|[`*_~\"'']+$', '', 'g'), '\s+', ' ', 'g'), ' ')) AS folded FROM customers")
 add("text_kept_ends", lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(tx.keep_ends(F.col("text"), 3), 256).alias("head"), F.sha2(tx.keep_ends(F.col("text"), 3, True), 256).alias("tail")), "SELECT doc_id, sha256(array_to_string(string_split(text, chr(10))[:3], chr(10))) AS head, sha256(array_to_string(string_split(text, chr(10))[-3:], chr(10))) AS tail FROM documents")
 add("text_executes_sql", lambda s, d: table(s, d, "trajectory").select(F.explode("pi_tool_events").alias("e")).groupBy(tx.executes_sql(F.col("e.arguments.command")).alias("executes")).agg(F.count(F.lit(1)).alias("n")), r"WITH x AS (SELECT unnest(pi_tool_events) AS e FROM trajectory), w AS (SELECT list_filter(regexp_split_to_array(lower(coalesce(e.arguments.command, '')), '[\s;&|''\"()`]+'), lambda w: w <> '') AS w FROM x) SELECT list_contains(list_transform(w, lambda z: regexp_extract(z, '[^/]*$')), 'sqlite3') AND list_has_any(w, ['select', 'with']) AS executes, count(*) AS n FROM w GROUP BY 1")
