@@ -56,6 +56,7 @@ _ITEMS = re.compile(r"^(?:[^\s:：,，、;；。]{1,24}(?:[ ][^\s:：,，、;；
 _LEAD = re.compile(r"^\W*(?:题目|问题|您的问题是?|你的问题是?|question|task|任务|your question(?: is| was)?|you asked)\W", re.I)
 _REPLY = re.compile(r"^\W*(?:回答|答|answer|reply|antwort)\W", re.I)
 _NOTICE = re.compile(r"^.*?\n[ \t]*(?:任务|Task)[ \t]*[:：][ \t]*", re.S)
+_BREAK = re.compile(r"[,，、:：](?=[^\d\n])")
 _FIGURE = re.compile(r"\d+(?:[.,]\d+)*")
 
 
@@ -169,7 +170,9 @@ def features(cl: list[str], bag: set[str], langs: frozenset[str]) -> list[list[s
         lang = "" if data else language(c)
         agree = "none" if not lang or not langs else "same" if lang in langs else "other"
         last, opened, end = i == n - 1, _open(c), _ending(c)
-        f = [f"data={data}", f"over={over}", f"over={over},led={led}", f"over={over},data={data}", f"agree={agree}", f"agree={agree},data={data}", f"last={last},end={end},data={data}", f"last={last},open={opened}", f"led={led}", f"n={min(n, 4)}", f"pos={min(i, 3)}", f"short={len(s) < 4}"]
+        rows = [x for x in c.split("\n") if x.strip()] if data else []
+        alike = "none" if len(rows) < 3 else "same" if _ending(rows[-1]) == _ending(rows[-2]) else "other"
+        f = [f"rows={alike},last={last}", f"data={data}", f"over={over}", f"over={over},led={led}", f"over={over},data={data}", f"agree={agree}", f"agree={agree},data={data}", f"last={last},end={end},data={data}", f"last={last},open={opened}", f"led={led}", f"n={min(n, 4)}", f"pos={min(i, 3)}", f"short={len(s) < 4}"]
         if not data:
             low = c.lower()
             f += [f"w:{w}" for w in set(re.findall(r"[a-zà-ÿ']{2,}", low))]
@@ -239,17 +242,18 @@ def made(sample: pd.DataFrame, seed: int = 11) -> tuple[list[list[list[str]]], l
         over = [sum(s[j : j + 4] in bag for j in range(len(s) - 3)) / max(len(s) - 3, 1) for s in map(_solid, cl)]
         quotes = max(over) > 0.3 and bool(q)
         if q and not figures(a) - figures(q) and not quotes:
-            for _ in range(3):  # rare, so it counts more than once
+            for _ in range(5):  # rare, so it counts more than once
                 add(f, [1] * len(cl))  # it tells nothing that the question doesn't
             continue
         if quotes or any(langs and not _is_data(c) and language(c) not in langs | {""} for c in cl):
             continue  # what is quoted, or in which language it should be, isn't known here
         add(f, [0] * len(cl))
         whole = a.rstrip()
-        for near in (True, False):
-            if rng.random() > CUT or len(whole) < 9:
+        breaks = [m.end() for m in _BREAK.finditer(whole) if m.end() > len(whole) // 3]
+        for near in (True, False, None):
+            if rng.random() > CUT or len(whole) < 9 or near is None and not breaks:
                 continue
-            at = len(whole) - int(rng.integers(2, min(len(whole) // 2, 30) + 1)) if near else int(rng.integers(len(whole) // 2, len(whole) - 1))
+            at = breaks[int(rng.integers(len(breaks)))] if near is None else len(whole) - int(rng.integers(2, min(len(whole) // 2, 30) + 1)) if near else int(rng.integers(len(whole) // 2, len(whole) - 1))
             part = clauses(whole[:at])
             # inside a figure nobody can tell, and a cut between clauses leaves whole ones
             if part and not whole[at - 1].isdigit() and len(part[-1].strip()) < len(cl[min(len(part), len(cl)) - 1].strip()):
