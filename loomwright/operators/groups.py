@@ -126,6 +126,14 @@ def confusion(df: DataFrame, auto: str, human: str, states: list[str]) -> DataFr
     return df.groupBy(F.col(auto).alias("auto_state")).agg(*(F.count_if(F.col(human) == s).alias(f"human_{s.lower()}") for s in states))
 
 
+def agreement(df: DataFrame, auto: str, human: str) -> DataFrame:
+    """One row: precision and recall of an automatic PASS against a human one, and the share of automatic UNKNOWN."""
+    a, h = F.col(auto), F.col(human)
+    n = lambda c: F.count_if(c)
+    both = n((a == "PASS") & (h == "PASS"))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.round(F.try_divide(both, n(a == "PASS")), 6).alias("precision"), F.round(F.try_divide(both, n((h == "PASS") & (a != "UNKNOWN"))), 6).alias("recall"), F.round(F.try_divide(n(a == "UNKNOWN"), F.count(F.lit(1))), 6).alias("unknown_rate"))
+
+
 def set_transition(universe: DataFrame, before: DataFrame, after: DataFrame, key: str, by: str) -> DataFrame:
     """(by, retained, lost, gained, neither) of a universe's keys in two sets."""
     b, a = before.select(key).distinct().withColumn("_b", F.lit(1)), after.select(key).distinct().withColumn("_a", F.lit(1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import sql_text
-from ..functions.tables import cell_equal
+from ..functions.tables import cell_equal, json_tables, rectangle
 from .stats import beta_binomial
 
 
@@ -82,6 +83,20 @@ def unique_projection(candidate: list[list], expected: list[list], abs_tol: floa
     return count(0, frozenset()) == 1
 
 
+@F.pandas_udf(T.BooleanType())
+def projects(answer: pd.Series, expected_json: pd.Series) -> pd.Series:
+    """Whether a JSON table of an answer holds the expected rows under exactly one choice of columns; null without expected rows."""
+
+    def one(a: str | None, e: str | None) -> bool | None:
+        try:
+            want = rectangle(json.loads(e)) if e else None
+        except ValueError:
+            want = None
+        return None if want is None else any(unique_projection(t, want) for t in json_tables(a or ""))
+
+    return pd.Series([one(a, e) for a, e in zip(answer, expected_json)], dtype="object")
+
+
 def mutants(df: DataFrame, sql: str) -> DataFrame:
     """Each row once for each fault that applies to its statement: (mutation, mutant)."""
 

@@ -39,6 +39,13 @@ def paired(left: DataFrame, right: DataFrame, key: str, metric: str, dead: float
     return d.agg(F.count("_d").alias("n"), F.count_if(F.col("_d") > dead).alias("wins"), F.count_if(F.col("_d") < -dead).alias("losses"), F.count_if(F.abs("_d") <= dead).alias("ties"), F.round(F.avg("_d"), 6).alias("mean_delta"))
 
 
+def paired_outcomes(left: DataFrame, right: DataFrame, key: str, ok: str) -> DataFrame:
+    """(both, only_left, only_right, neither): the 2 x 2 table of two arms' outcomes over their common keys."""
+    d = left.select(key, F.coalesce(ok, F.lit(False)).alias("_l")).join(right.select(key, F.coalesce(ok, F.lit(False)).alias("_r")), key)
+    x, y = F.col("_l"), F.col("_r")
+    return d.agg(F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_left"), F.count_if(~x & y).alias("only_right"), F.count_if(~x & ~y).alias("neither"))
+
+
 @F.pandas_udf(T.DoubleType())
 def sign_test(wins: pd.Series, losses: pd.Series) -> pd.Series:
     """Two-sided exact sign test; null without any decided pair."""

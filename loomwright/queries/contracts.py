@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import contracts, masks
+from ..operators import contracts, groups, masks, stats
 from ..session import table
 from .core import add
 
@@ -121,6 +121,26 @@ add(
 )
 
 
+
+
+def _agreement(s: SparkSession, d: str) -> DataFrame:
+    x = _s(s, d)
+    human = x.select("trajectory_id", F.when(contracts.right(x), "PASS").otherwise("FAIL").alias("human"))
+    return groups.agreement(contracts.tri_state(x).join(human, "trajectory_id"), "state", "human")
+
+
+_STATE = "CASE WHEN g IS NULL OR unseen > 0 OR trim(coalesce(final_answer, ''), ' ') = '' THEN 'UNKNOWN' WHEN NOT \"right\" THEN 'FAIL' WHEN attempts = 0 THEN 'UNKNOWN' WHEN successes > 0 AND beside < queries THEN 'PASS' ELSE 'FAIL' END"
+add("contract_agreement", _agreement, f'{_S}, z AS (SELECT {_STATE} AS st, "right" AS ok FROM s) SELECT count(*) AS n, round(count(*) FILTER (WHERE st = \'PASS\' AND ok) / nullif(count(*) FILTER (WHERE st = \'PASS\'), 0), 6) AS precision, round(count(*) FILTER (WHERE st = \'PASS\' AND ok) / nullif(count(*) FILTER (WHERE ok AND st <> \'UNKNOWN\'), 0), 6) AS recall, round(count(*) FILTER (WHERE st = \'UNKNOWN\') / count(*), 6) AS unknown_rate FROM z')
+
+
+def _arm(s: SparkSession, d: str, k: int) -> DataFrame:
+    x = _s(s, d)
+    return x.where(f"sample_index = {k} and record_id is not null").select("record_id", contracts.right(x).alias("ok")).groupBy("record_id").agg(F.max("ok").alias("ok"))
+
+
+add("contract_paired_outcomes", lambda s, d: stats.paired_outcomes(_arm(s, d, 0), _arm(s, d, 1), "record_id", "ok"), f'{_S}, z AS (SELECT record_id, sample_index AS k, bool_or("right") AS ok FROM s WHERE record_id IS NOT NULL AND sample_index IN (0, 1) GROUP BY 1, 2), j AS (SELECT a.ok AS x, b.ok AS y FROM z a JOIN z b ON a.record_id = b.record_id AND a.k = 0 AND b.k = 1) SELECT count(*) FILTER (WHERE x AND y) AS both, count(*) FILTER (WHERE x AND NOT y) AS only_left, count(*) FILTER (WHERE NOT x AND y) AS only_right, count(*) FILTER (WHERE NOT x AND NOT y) AS neither FROM j')
+
+
 # --- statements -------------------------------------------------------------------------------------------------------
 def _statements(s: SparkSession, d: str) -> DataFrame:
     """Every statement of every trajectory beside its record's gold one."""

@@ -366,7 +366,8 @@ def _answered(s: SparkSession, d: str) -> DataFrame:
 
 
 # --- verification and scoring -----------------------------------------------------------------------------------------
-add("verify_answers", lambda s, d: _answered(s, d).select(tbl.match_mode("final_answer", "g.expected_value_json", "g.abs_tol", "g.rel_tol", F.lit(True)).alias("mode"), "g.answer_type").groupBy("answer_type", "mode").agg(F.count(F.lit(1)).alias("n")))
+add("verify_answers", lambda s, d: _answered(s, d).select(tbl.match_mode("final_answer", "g.expected_value_json", "g.abs_tol", "g.rel_tol", audit.order_binding(F.col("g.verification_sql"), F.lit(""))).alias("mode"), "g.answer_type").groupBy("answer_type", "mode").agg(F.count(F.lit(1)).alias("n")))
+add("verify_projection", lambda s, d: _answered(s, d).groupBy(more.projects("final_answer", "g.expected_value_json").alias("projects")).agg(F.count(F.lit(1)).alias("n")))
 add("verify_closeness", lambda s, d: _answered(s, d).select("trajectory_id", closeness.closeness(F.col("final_answer"), F.col("g.expected_value_json")).alias("closeness")))
 
 

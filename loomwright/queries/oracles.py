@@ -49,6 +49,24 @@ state(
     "WITH g AS (SELECT m.x AS metric, g.x AS grp, t.x AS month, k.x AS top FROM (SELECT unnest(['sum', 'mean', 'rate']) AS x) m, (SELECT unnest(['', 'carrier', 'region']) AS x) g, (SELECT unnest(['2024-01', '2024-02', '2024-03']) AS x) t, (SELECT unnest([0, 3, 5]) AS x) k), l AS (SELECT *, CASE WHEN grp = '' THEN 1 WHEN top = 0 THEN 2 ELSE 3 END AS level FROM g WHERE grp <> '' OR top = 0) SELECT CAST(level AS INTEGER) AS level, least(count(*), 8) AS n FROM l GROUP BY 1",
 )
 
+_LAST = r"regexp_split_to_array(trajectory_output, '<\|im_start\|>assistant\s*|(?m)^assistant:\s*')[-1]"
+_OWN = rf"regexp_split_to_array({_LAST}, '<\|im_end\|>|<\|im_start\|>|(?m)^(?:user|tool|system):')[1]"
+_SHOWN = _OWN
+for _tag in ("think", "tool_call", "tool_response"):
+    _SHOWN = f"regexp_replace({_SHOWN}, '(?s)<{_tag}>.*?</{_tag}>', '', 'g')"
+state("text_final_answer", rf"SELECT trajectory_id, sha256(trim(regexp_replace({_SHOWN}, '^\s+|\s+$', '', 'g'), ' ')) AS answer_sha256 FROM trajectory")
+_LABEL = r"list_distinct(list_transform(regexp_extract_all(final_answer, '(?im)(?:final answer|答案|结果|result)\W{0,6}([-+]?\d[\d,]*(?:\.\d+)?)', 1), lambda x: TRY_CAST(replace(x, ',', '') AS DOUBLE)))"
+_LINE = "coalesce(list_filter(string_split(final_answer, chr(10)), lambda x: trim(x, ' ') <> '')[-1], '')"
+state(
+    "traj_unique_conclusion",
+    f"WITH t AS (SELECT final_answer AS a, len({_LABEL}) AS l, len(list_distinct({_answer_numbers(_LINE)})) AS k FROM trajectory) SELECT CASE WHEN a IS NULL OR trim(a, ' ') = '' THEN 'no_answer' WHEN l > 1 THEN 'ambiguous_label' WHEN l = 1 THEN 'label' WHEN k = 1 THEN 'last_line' WHEN k > 1 THEN 'ambiguous_line' ELSE 'no_number' END AS reason, count(*) AS n, count(*) FILTER (WHERE a IS NOT NULL AND (l = 1 OR l = 0 AND k = 1)) AS with_value FROM t GROUP BY 1",
+)
+_AVG = "round(coalesce(avg({0}) FILTER (WHERE step {1} 15), 0.0), 6)"
+state(
+    "audit_delta_drivers",
+    f"WITH s AS ({_S}), g AS (SELECT task, {_AVG.format('reward', '<=')} AS a1, {_AVG.format('reward', '>')} AS b1, {_AVG.format('k', '<=')} AS a2, {_AVG.format('k', '>')} AS b2 FROM s GROUP BY 1), d AS (SELECT round(round(0.5 * b1 + 0.5 * b2, 2) - round(0.5 * a1 + 0.5 * a2, 2), 6) AS delta, round(0.5 * b1 - 0.5 * a1, 6) + round(0.5 * b2 - 0.5 * a2, 6) AS known FROM g) SELECT count(*) AS n, max(abs(round(delta - known, 6))) AS largest_rest FROM d",
+)
+
 # --- nested records (problem 5) ---------------------------------------------------------------------------------------
 
 
