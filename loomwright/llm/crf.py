@@ -42,6 +42,8 @@ class CRF:
 
     def fit(self, seqs: list[list[np.ndarray]], tags: list[list[int]], rounds: int = 120, rate: float = 0.5, decay: float = 1e-4) -> "CRF":
         """AdaGrad on the mean log-likelihood; sequences are non-empty. Same data give the same weights."""
+        order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))  # longest first: the sequences that reach a place come first
+        seqs, tags = [seqs[i] for i in order], [tags[i] for i in order]
         k, total = len(self.labels), sum(map(len, seqs))
         flat = [f for s in seqs for f in s]
         rows = np.repeat(np.arange(len(flat)), [len(f) for f in flat])
@@ -51,31 +53,34 @@ class CRF:
         n = np.array([len(s) for s in seqs])
         size = int(n.max())
         at = np.arange(size)[None, :] < n[:, None]
+        reach, last, of = at.sum(0), n - 1, np.nonzero(at)[0]
+        every = np.arange(len(seqs))
         y = np.zeros((len(seqs), size), np.int64)
         y[at] = [t for s in tags for t in s]
-        gold = np.eye(k)[y] * at[..., None]
+        gold = np.eye(k)[y]
+        flat_gold = gold[at]
         for _ in range(rounds):
             e, _ = self._pad(seqs, self.w)
             f, b = np.zeros_like(e), np.zeros_like(e)
             f[:, 0] = e[:, 0]
             for j in range(1, size):
-                f[:, j] = np.where(at[:, j, None], self._lse(f[:, j - 1, :, None] + self.t[None], 1) + e[:, j], f[:, j - 1])
+                m = reach[j]
+                f[:m, j] = self._lse(f[:m, j - 1, :, None] + self.t[None], 1) + e[:m, j]
             for j in range(size - 2, -1, -1):
-                b[:, j] = np.where(at[:, j + 1, None], self._lse(self.t[None] + (e[:, j + 1] + b[:, j + 1])[:, None, :], 2), 0)
-            z = self._lse(f[:, -1], 1)
-            p = np.exp(np.minimum(f + b - z[:, None, None], 0)) * at[..., None]
+                m = reach[j + 1]
+                b[:m, j] = self._lse(self.t[None] + (e[:m, j + 1] + b[:m, j + 1])[:, None, :], 2)
+            z = self._lse(f[every, last], 1)
+            d = flat_gold - np.exp(np.minimum(f[at] + b[at] - z[of, None], 0))
             gt = np.zeros_like(self.t)
             for j in range(1, size):
-                m = at[:, j]
-                if m.any():
-                    pair = np.exp(np.minimum(f[m, j - 1, :, None] + self.t[None] + (e[m, j] + b[m, j])[:, None, :] - z[m, None, None], 0))
-                    gt += np.einsum("na,nb->ab", gold[m, j - 1], gold[m, j]) - pair.sum(0)
-            d = gold - p
-            flat_d = d[at]
+                m = reach[j]
+                pair = np.exp(np.minimum(f[:m, j - 1, :, None] + self.t[None] + (e[:m, j] + b[:m, j])[:, None, :] - z[:m, None, None], 0))
+                gt += np.einsum("na,nb->ab", gold[:m, j - 1], gold[:m, j]) - pair.sum(0)
             gw = np.zeros_like(self.w)
             for c in range(k):
-                gw[:, c] = np.bincount(idx, weights=flat_d[rows, c], minlength=self.dims)
-            gb = np.stack([d[:, 0].sum(0), d[np.arange(len(seqs)), n - 1].sum(0)])
+                gw[:, c] = np.bincount(idx, weights=d[rows, c], minlength=self.dims)
+            ends = np.cumsum(n) - 1
+            gb = np.stack([d[ends - last].sum(0), d[ends].sum(0)])
             for prm, g, s in zip(params, (gw, gt, gb), seen):
                 g = g / total - decay * prm
                 s += g * g
