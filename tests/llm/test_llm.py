@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomwright.llm import answer_defects, cross_split, cut_texts, layout_copies, leak, mixture, reading_level
+from loomwright.llm import answer_defects, cross_split, cut_texts, layout_copies, leak, mixture, reading_level, stands
 from loomwright.llm.crf import CRF, hashed
 from loomwright.llm.fm_index import FMIndex
 from loomwright.llm.layout import request_key, statement_key
@@ -122,6 +122,40 @@ def test_cross_split_of_a_split_bucket(spark, monkeypatch):
     assert _asks(spark, asks)[0] == whole and len(whole) == 36
 
 
+def _stated(n):
+    """(question, statement) of n requests in which words tell the region and the figure; some have no region."""
+    rng = random.Random(11)
+    out = []
+    for i in range(n):
+        region, figure, more = rng.choice(["north", "south", "west"]), rng.choice([("how much", "SUM(x)"), ("how many", "COUNT(*)"), ("what mean", "AVG(x)")]), rng.choice(["", "in short", "by name please"])
+        told = f"up {region}" if rng.random() < 0.97 else "down there"  # a twentieth of the requests may say otherwise
+        where = f" WHERE region = '{region}' AND x > {rng.randrange(9)}" if i % 7 else ""
+        out.append((f"{figure[0]} {told} code QZ{rng.randrange(10, 99)} {more}" if i % 50 else "?", f"SELECT {figure[1]} AS value FROM t{where}"))
+    return out
+
+
+def test_words_are_learnt_from_every_request(spark, monkeypatch):
+    asks = _stated(900)
+    whole = Values(asks)
+    monkeypatch.setattr(stands, "CELLS", 100)  # both ways of counting, and batches that hold a part of the requests
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
+    try:
+        made = stands.learnt(spark.createDataFrame(asks, "q string, s string").repartition(3))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert made.stands == whole.stands and "many" in made.stands
+    assert made.hints == {w: x for w, x in whole.hints.items() if not w[-1].isdigit()}
+    assert made.seen == {w for w in whole.seen if not w[-1].isdigit()} and made.common == {w for w in whole.common if " " not in w}
+    assert stands.learnt(spark.createDataFrame([], "q string, s string")).stands == {}
+
+
+def test_words_of_few_requests_among_many_are_learnt(spark):
+    rows = [(i, [("user", f"total of locker item number {i % 90}")], (("SELECT SUM(x) AS value FROM t WHERE service = 'locker'",),)) for i in range(8_000)]
+    rows += [(10_000 + i, [("user", f"total of drone item number {i}")], (("SELECT SUM(x) AS value FROM t WHERE service = 'drone'",),)) for i in range(5)]
+    rec = spark.createDataFrame(rows, "record_id long, prompt array<struct<role string, content string>>, reward_model struct<ground_truth struct<verification_sql string>>")
+    assert cross_split.learnt(rec).of("total of drone item number 3".split()) == {"service=": "'drone'"}
+
+
 def test_crf_learns_a_sequence_rule():
     rng = random.Random(5)
     seqs, tags = [], []
