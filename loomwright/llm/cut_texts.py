@@ -199,21 +199,19 @@ def _shingles(w: np.ndarray) -> np.ndarray:
 
 
 def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each text's bands, every one with a min-hash of its own over the text's opening: `place` stands for both.
+    """Each text's bands over the whole text.
 
     A batch's words lie in one array, so shingles, their distinct values and all min-hashes are computed for it at once.
     """
     rng = np.random.default_rng(7)
     mult = rng.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
     add = rng.integers(0, 2**63, HASHES, dtype=np.uint64)
-    opening = LEAST_SHINGLES + 4
     for b in batches:
         words = [_tokens(t) for t in b["text"]]
         n = np.array([len(w) for w in words], np.int64)
         flat = np.array([_code(x) for w in words for x in w], np.uint64)
-        if len(flat) < opening:
+        if len(flat) < LEAST_SHINGLES + 4:
             continue
-        begin = np.cumsum(n) - n
         text = np.repeat(np.arange(len(n)), n)
         runs = _runs(flat, 5)
         inside = text[: len(runs)] == text[4:]
@@ -229,14 +227,12 @@ def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         run = run[sizes[of] >= LEAST_SHINGLES]
         cuts = np.concatenate(([0], np.cumsum(sizes[keep])[:-1]))
-        first = _runs(flat[begin[keep][:, None] + np.arange(opening)], 3)
         with np.errstate(over="ignore"):
             sig = np.stack([np.minimum.reduceat((run * m + a) >> np.uint64(3), cuts) for m, a in zip(mult, add)])
             band = [sig[k] * np.uint64(31) ^ (sig[k + 1] * np.uint64(1_000_003)) ^ (sig[k + 2] * np.uint64(0x9E3779B97F4A7C15)) for k in range(0, HASHES, ROWS)]
-            place = [x * np.uint64(31) + ((first * mult[k] + add[k]) >> np.uint64(3)).min(1) for k, x in enumerate(band)]
         base = b.iloc[keep]
-        for k, x in enumerate(place):
-            yield pd.DataFrame({"id": base["id"].to_numpy(), "chars": base["chars"].to_numpy(), "shingles": sizes[keep], "suspect": base["suspect"].to_numpy(), "place": (x ^ np.uint64(k)).view(np.int64), "sig": None if k else [x.tobytes() for x in sig.astype(np.uint8).T]})
+        for k, x in enumerate(band):
+            yield pd.DataFrame({"id": base["id"].to_numpy(), "chars": base["chars"].to_numpy(), "shingles": sizes[keep], "suspect": base["suspect"].to_numpy(), "band": (x ^ np.uint64(k)).view(np.int64), "sig": None if k else [x.tobytes() for x in sig.astype(np.uint8).T]})
 
 
 def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,7 +266,7 @@ def _place(a: list[str], c: list[str]) -> int | None:
     k, m = len(a) - 1, min(TAIL, len(a))
     if len(c) > k and c[k].startswith(a[k]) and a[:k] == c[:k]:
         return k
-    tail, slack = a[-m:], 2 + len(a) // 10
+    tail, slack = a[-m:], 2 + int(len(a) * (1 / SIMILAR - 1))  # what a similar text can have more, or less, before the place
     lo = max(0, len(a) - m - slack)
     window = c[lo : len(a) + slack]
     found = []
@@ -320,15 +316,14 @@ def _goes_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def near_copies(distinct: DataFrame) -> DataFrame:
-    """(id, middle): suspect texts with a longer near-copy that begins like them; middle: it goes on inside a sentence.
+    """(id, middle): suspect texts with a longer near-copy, however it begins; middle: it goes on inside a sentence.
 
-    A suspect meets every longer text of its bands' buckets that opens like it, an edit in the opening aside, and has as
-    many shingles as the similarity asks for.
+    A suspect meets every longer text of its bands' buckets that has as many shingles as the similarity asks for.
     """
-    bands = written(distinct.select("id", "chars", "suspect", "text").mapInPandas(_bands, "id long, chars int, shingles int, suspect boolean, place long, sig binary"), "p3-bands")
-    longer = bands.select("place", F.col("id").alias("long_id"), F.col("chars").alias("long_chars"), F.col("shingles").alias("long_shingles"))
+    bands = written(distinct.select("id", "chars", "suspect", "text").mapInPandas(_bands, "id long, chars int, shingles int, suspect boolean, band long, sig binary"), "p3-bands")
+    longer = bands.select("band", F.col("id").alias("long_id"), F.col("chars").alias("long_chars"), F.col("shingles").alias("long_shingles"))
     near = (F.col("long_chars") > F.col("chars")) & (F.col("long_shingles") * SIMILAR <= F.col("shingles")) & (F.col("shingles") * SIMILAR <= F.col("long_shingles"))
-    pairs = bands.where("suspect").join(longer, "place").where(near).select("id", "long_id").distinct()
+    pairs = bands.where("suspect").join(longer, "band").where(near).select("id", "long_id").distinct()
     sig = bands.where("sig is not null").select("id", "sig")
     pairs = pairs.join(sig, "id").join(sig.select(F.col("id").alias("long_id"), F.col("sig").alias("long_sig")), "long_id")
     pairs = written(pairs.mapInPandas(_alike, "id long, long_id long"), "p3-pairs")

@@ -345,6 +345,16 @@ def test_the_end_of_a_cut_text_is_aligned_with_its_copy(spark):
     assert {i for i, m in got.items() if m} == {1, 2, 3, 4, 5}
 
 
+def test_a_cut_text_meets_a_copy_that_opens_otherwise(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(120)]
+    opening = ["".join(rng.choice("mnopqrst") for _ in range(6)) for _ in range(16)]
+    text = " ".join(words)
+    copies = [(99, " ".join([*opening, text]) + " and goes on for a while", False), (98, " ".join([*opening[:9], *words[9:]]) + " and more", False)]
+    assert _copies(spark, [(1, text[:-3], True), copies[0]]) == {1: True}
+    assert _copies(spark, [(1, text[:-3], True), copies[1]]) == {1: True}
+
+
 def test_a_leak_without_numbers(spark):
     bare = "The harbour master of Quellmond sealed every lantern crate before the northern ferries came home that evening"
     shared = "A weaver from the hills bartered seven bolts of undyed linen for one barrel of salted plums at dusk"
